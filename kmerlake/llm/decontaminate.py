@@ -157,3 +157,17 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", least: floa
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+g AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*)::INTEGER AS shared, any_value(n.n)::INTEGER AS n_shingles, count(*)::DOUBLE / any_value(n.n) AS containment
+FROM g d JOIN g i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n)
+"""

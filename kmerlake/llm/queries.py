@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from kmerlake.llm.decontaminate import op4_benchmark_decontamination
+from kmerlake.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
 from kmerlake.llm.langid import op1_language_id
+from kmerlake.llm.linededup import OP9_SQL, op9_line_dedup
+from kmerlake.llm.mixing import OP6_SQL, op6_source_mixing
 from kmerlake.llm.quality import op7_quality_classifier
 from kmerlake.llm.simhash import op3_simhash_near_dedup
+from kmerlake.llm.spotsigs import OP5_SQL, op5_document_fingerprints
+from kmerlake.llm.tokencount import op2_token_counts
+from kmerlake.llm.tokenfiles import op8_token_id_output
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_token_counts,
         op3_simhash_near_dedup,
         op4_benchmark_decontamination,
+        op5_document_fingerprints,
+        op6_source_mixing,
         op7_quality_classifier,
+        op8_token_id_output,
+        op9_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op5_document_fingerprints": OP5_SQL,
+    "op6_source_mixing": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
