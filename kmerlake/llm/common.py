@@ -40,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of ids are broadcast up to this many bytes, else joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    """The table, marked for a broadcast if its counted rows take no more than BROADCAST_BYTES."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

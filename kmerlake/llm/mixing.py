@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import cut, documents
+from kmerlake.llm.common import cut, documents, sized
 
 WEIGHTS = (5, 2, 1)
 #: A target stops at this many times its source's size.
@@ -102,6 +102,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """docs, all columns, each row as often as mix() takes it; rows taken no times go. Rows that share an id share the copies of all of them evenly, rounded down."""
+    taken = mix(docs, id_col, text_col, source_col, seed).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    taken = sized(cut(taken.withColumnRenamed("doc_id", "_taken")), 32)
+    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -9,6 +9,7 @@ from kmerlake.llm.mixing import OP6_SQL, op6_source_mixing
 from kmerlake.llm.quality import op7_quality_classifier
 from kmerlake.llm.simhash import op3_simhash_near_dedup
 from kmerlake.llm.spotsigs import OP5_SQL, op5_document_fingerprints
+from kmerlake.llm.suffixdedup import op10_suffix_dedup
 from kmerlake.llm.tokencount import op2_token_counts
 from kmerlake.llm.tokenfiles import op8_token_id_output
 
@@ -24,6 +25,7 @@ QUERIES = {
         op7_quality_classifier,
         op8_token_id_output,
         op9_line_dedup,
+        op10_suffix_dedup,
     )
 }
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import cut, documents, emit, rows
+from kmerlake.llm.common import cut, documents, emit, rows, sized
 from kmerlake.llm.components import connected_components
 
 RADIUS = 3
@@ -203,5 +203,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs, all columns, with one document of each component: that of the smallest id.
+
+    Rows that share an id are one document, kept once (the row of the least text hash) if any of them has the
+    smallest id of its component. Rows with a null id are kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius)
+    ids = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")))
+    gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(sized(gone, 32), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    again = ids.where("first and n > 1").select(F.col("doc_id").alias("_again"))
+    if again.limit(1).count():
+        repeated = kept.join(again, F.col(id_col).cast("long") == F.col("_again"), "left_semi")
+        single = repeated.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(F.xxhash64(text_col).alias("_h"), *docs.columns)).alias("_row")).select("_row.*").select(*docs.columns)
+        kept = kept.join(again, F.col(id_col).cast("long") == F.col("_again"), "left_anti").unionByName(single)
+    return kept
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
