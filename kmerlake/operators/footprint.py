@@ -54,11 +54,13 @@ def calibrate(reads: DataFrame, motif: Motif, shifts: range, free: float, scales
     control = reads.where("conc = 0")
     points = [(s, a) for s in shifts for a in scales]
     z = site_weights(F.col("seq"), motif)
-    psi = []
-    for s, a in points:
-        total = F.aggregate(F.zip_with(z, F.sequence(F.lit(0), F.greatest(F.size(z) - 1, F.lit(0))), lambda x, i, s=s, a=a: x * F.pow(F.coalesce(F.get(F.col("acc"), i + s), F.lit(0.0)), F.lit(a))), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
-        y = total * free * motif.a0
-        psi.append(y / (y + 1))
+
+    def bound(shift: int, scale: float) -> Column:
+        open_ = lambda x, i: x * F.pow(F.coalesce(F.get(F.col("acc"), i + shift), F.lit(0.0)), F.lit(scale))
+        y = F.aggregate(F.transform(z, open_), F.lit(0.0), lambda t, x: t + x) * free * motif.a0
+        return y / (y + 1)
+
+    psi = [bound(s, a) for s, a in points]
     rows = control.select("acc", F.array(*psi).alias("psi"), F.posexplode(z).alias("at", "z"))
     rows = rows.select("acc", "psi", "at", "z", F.explode(F.sequence(F.lit(-pad), F.lit(motif.width + pad - 1))).alias("rel"))
     rows = rows.withColumn("a", F.get(F.col("acc"), F.col("at") + F.col("rel"))).where("a is not null")

@@ -105,19 +105,19 @@ def predicted_r(reads: DataFrame, k: int, psi: list[Column], betas: list[float])
     """(sample, kmer, r): predicted enrichment w / (f0 W) with w = q + F0 beta, reads being the input sample."""
     spark = reads.sparkSession
     f0 = dense(kmer_counts(reads, k), k).groupBy("kmer").agg(F.sum("n").alias("n0"))
-    whole = f0.agg(F.sum("n0").alias("N0"))
+    whole = f0.agg(F.sum("n0").alias("all0"))
     q = bound_counts(reads, k, psi)
     beta = spark.createDataFrame([(i, float(b)) for i, b in enumerate(betas)], "sample int, beta double")
     w = f0.crossJoin(F.broadcast(beta)).join(q, ["sample", "kmer"], "left").withColumn("w", F.coalesce("q", F.lit(0.0)) + F.col("n0") * F.col("beta"))
-    total = w.groupBy("sample").agg(F.sum("w").alias("W"))
-    return w.join(F.broadcast(total), "sample").crossJoin(F.broadcast(whole)).where("n0 > 0").select("sample", "kmer", (F.col("w") / (F.col("n0") / F.col("N0")) / F.col("W")).alias("r"))
+    total = w.groupBy("sample").agg(F.sum("w").alias("all_w"))
+    return w.join(F.broadcast(total), "sample").crossJoin(F.broadcast(whole)).where("n0 > 0").select("sample", "kmer", (F.col("w") / (F.col("n0") / F.col("all0")) / F.col("all_w")).alias("r"))
 
 
 def beta_estimates(q: DataFrame, observed: DataFrame, f0: DataFrame) -> DataFrame:
     """(sample, kmer, beta): the background share at which a k-mer's prediction meets its observed enrichment."""
-    total = q.groupBy("sample").agg(F.sum("q").alias("Q"))
+    total = q.groupBy("sample").agg(F.sum("q").alias("all_q"))
     rows = q.join(observed, ["sample", "kmer"]).join(f0, "kmer").join(F.broadcast(total), "sample")
-    return rows.where("r <> 1").select("sample", "kmer", ((F.col("r") * F.col("f") * F.col("Q") - F.col("q")) / (F.col("n0") * (1 - F.col("r")))).alias("beta"))
+    return rows.where("r <> 1").select("sample", "kmer", ((F.col("r") * F.col("f") * F.col("all_q") - F.col("q")) / (F.col("n0") * (1 - F.col("r")))).alias("beta"))
 
 
 def ska_weights(reads: DataFrame, k: int, passes: int = 3, pseudo: float = 10.0) -> DataFrame:

@@ -193,27 +193,27 @@ def kmer_affinities(spark: SparkSession, motif: Motif, floor: float = 0.0) -> Da
 
 def partial_affinities(sequences: DataFrame, motifs: list[Motif], min_overlap: int = 2) -> DataFrame:
     """(seq, affinity): sum over all offsets of at least min_overlap bases and over the motifs; positions beyond the sequence count d * min + (1 - d), d their discrimination."""
-    total = F.lit(0.0)
-    for m in motifs:
-        d, least = m.discrimination, m.matrix.min(axis=1)
-        missing = d * least + (1 - d)
-        before, after = np.cumprod([1.0, *missing]), np.cumprod([1.0, *missing[::-1]])[::-1]
-        flat = F.array(*[F.lit(float(x)) for row in m.matrix for x in row])
-        head, tail = F.array(*map(F.lit, map(float, before))), F.array(*map(F.lit, map(float, after)))
-        n = F.length("seq")
-
-        def at_offset(o: Column, flat=flat, head=head, tail=tail, width=m.width, n=n) -> Column:
-            start, end = F.greatest(F.lit(0), o), F.least(F.lit(width), o + n)
-
-            def step(score: Column, i: Column) -> Column:
-                nt = F.instr(F.lit("ACGU"), F.substring("seq", i - o + 1, F.lit(1)))
-                return score * F.when(nt > 0, F.get(flat, i * 4 + nt - 1)).otherwise(1.0)
-
-            return F.aggregate(F.sequence(start, end - 1), F.get(head, start) * F.get(tail, end), step)
-
-        offsets = F.sequence(-n + min_overlap, F.lit(m.width - min_overlap))
-        total = total + F.aggregate(F.transform(offsets, at_offset), F.lit(0.0), lambda a, x: a + x) * m.a0
-    return sequences.select("seq", total.alias("affinity"))
+    return sequences.select("seq", sum((_overhanging(m, min_overlap) for m in motifs), F.lit(0.0)).alias("affinity"))
+
+
+def _overhanging(m: Motif, min_overlap: int) -> Column:
+    d, least, n = m.discrimination, m.matrix.min(axis=1), F.length("seq")
+    missing = d * least + (1 - d)
+    flat = F.array(*[F.lit(float(x)) for row in m.matrix for x in row])
+    head = F.array(*[F.lit(float(x)) for x in np.cumprod([1.0, *missing])])
+    tail = F.array(*[F.lit(float(x)) for x in np.cumprod([1.0, *missing[::-1]])[::-1]])
+
+    def at_offset(o: Column) -> Column:
+        start, end = F.greatest(F.lit(0), o), F.least(F.lit(m.width), o + n)
+
+        def step(score: Column, i: Column) -> Column:
+            nt = F.instr(F.lit("ACGU"), F.substring("seq", i - o + 1, F.lit(1)))
+            return score * F.when(nt > 0, F.get(flat, i * 4 + nt - 1)).otherwise(1.0)
+
+        return F.aggregate(F.sequence(start, end - 1), F.get(head, start) * F.get(tail, end), step)
+
+    offsets = F.sequence(-n + min_overlap, F.lit(m.width - min_overlap))
+    return F.aggregate(F.transform(offsets, at_offset), F.lit(0.0), lambda a, x: a + x) * m.a0
 
 
 def gapless_score(seq: Column, motif: Motif, multiply: bool = False) -> Column:

@@ -19,7 +19,7 @@ def corrected_r(r: DataFrame, q_nonspecific: float = 5.0) -> DataFrame:
     return mean.withColumn("_ns", ns).select("kmer", (F.col("m") + F.col("_ns") * (F.col("m") - 1) / (1 - F.col("_ns"))).alias("r"))
 
 
-@dataclass
+@dataclass(eq=False)
 class Stack:
     """Weighted k-mers laid over each other; weight[position, nucleotide] is their sum."""
 
