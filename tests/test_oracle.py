@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import kmerlake.plans.comparing
 import kmerlake.plans.counting
 import kmerlake.plans.modelling
 import kmerlake.plans.selecting  # noqa: F401
