@@ -20,6 +20,9 @@ HASHES = 64
 #: Items held by a task at once; more are searched in blocks, each over all documents.
 ITEM_BLOCK = 20_000
 _SLOTS = 1 << 16
+#: Shingles hashed at a time by all functions, a multiple of every window step up to it.
+_CHUNK = 1 << 13
+_ROW = (np.arange(HASHES, dtype=np.uint32) * np.uint32(_SLOTS))[:, None]
 _XOR = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _MUL = (mix64(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -77,16 +80,19 @@ class ItemIndex:
         if not len(s) or not self.classes:
             return found
         low = (s >> np.uint64(32)).astype(np.uint32)
-        for i in range(HASHES):
-            block, level = (low ^ _XOR[i]) * _MUL[i], 0
+        overlap = 1 << self.classes[-1].level
+        step = max(_CHUNK, overlap)
+        for at in range(0, len(low), step):
+            block, level = (low[None, at : at + step + overlap] ^ _XOR[:, None]) * _MUL[:, None], 0
             for c in self.classes:
                 while level < c.level:
-                    half = np.minimum(block[0 : len(block) // 2 * 2 : 2], block[1::2])
-                    block = np.append(half, block[-1]) if len(block) % 2 else half
+                    n = block.shape[1]
+                    half = np.minimum(block[:, 0 : n - 1 : 2], block[:, 1::2])
+                    block = np.concatenate((half, block[:, -1:]), axis=1) if n % 2 else half
                     level += 1
-                window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
-                hit = window[c.slots[i, window & np.uint32(_SLOTS - 1)]]
-                for v in np.unique(hit).tolist() if len(hit) else ():
+                window = np.minimum(block[:, :-1], block[:, 1:]) if block.shape[1] > 1 else block
+                row, place = np.nonzero(c.slots.ravel()[(window & np.uint32(_SLOTS - 1)) + _ROW])
+                for i, v in set(zip(row.tolist(), window[row, place].tolist())):
                     found.update(c.keys[i].get(v, ()))
         return found
 

@@ -12,14 +12,14 @@ from kmerlake.llm.setjoin import may_match, needed, parity, percent, prefix, rar
 
 LEAST = 0.8
 #: Buckets of a prefix token above this many classes are settled around their earliest class before any self-join.
-HOT = 64
+HOT = 1024
 _FIRST_ID = -(1 << 63)
 
 
 def line_tokens(line: "F.Column") -> "F.Column":
-    """Hashes of the distinct words of a line; a word is a lower-cased run of letters and digits."""
-    words = F.split(F.lower(line), r"[^\p{L}\p{N}]+")
-    return F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
+    """Hashes of the distinct words of a line, in lower case; blanks, tabs and carriage returns end words."""
+    flat = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_distinct(F.transform(F.filter(F.split(flat, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -28,8 +28,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "no", line_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _kind(tokens: "F.Column") -> "F.Column":
-    return F.unhex(F.md5(F.array_join(F.array_sort(tokens), ",").cast("binary")))
+def _kind(tokens: "F.Column") -> tuple["F.Column", "F.Column"]:
+    """128 bits that equal word sets share."""
+    own = F.array_sort(tokens)
+    return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
 
 
 def _later(x: str, y: str) -> "F.Column":
@@ -42,10 +44,10 @@ def _bucket_rows(lines: DataFrame, pct: int) -> DataFrame:
     least = needed(n, pct)
     short = F.transform(prefix(F.col("tokens"), F.col("rank"), pct), lambda t: F.hash(t))
     shaped = lines.select(
-        _kind(F.col("tokens")).alias("kind"),
+        *_kind(F.col("tokens")),
         F.struct("doc", "no", n.alias("n"), parity(F.col("tokens")).alias("bits"), F.when((least < n) | (F.floor(n * 100 / pct) > n), short).alias("prefix")).alias("f"),
     )
-    firsts = shaped.groupBy("kind").agg(F.min("f").alias("f")).select("f.*").where("prefix is not null")
+    firsts = shaped.groupBy("k1", "k2").agg(F.min("f").alias("f")).select("f.*").where("prefix is not null")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return firsts.select("doc", "no", "n", "bits", F.posexplode("prefix").alias("i", "token")).repartition(parts, "token")
 
@@ -93,12 +95,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = hot.select("token", F.struct("x.doc", "x.no").alias("a"), "x.*").withColumn("level", F.floor(F.log("n") / base_log).cast("int"))
     left = hot.join(settled, "a", "left_anti").withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
     rest = left.alias("x").join(hot.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level")) & _later("x", "y") & may_match(pct, "x", "y"))
-    more = _matched(base, cut(rest.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()), pct)
-
-    lost = settled.unionByName(more).distinct().select(F.col("a").alias("lost"))
-    every = lines.select(_kind(F.col("tokens")).alias("kind"), F.struct("doc", "no").alias("id"))
-    classes = every.groupBy("kind").agg(F.min("id").alias("first")).join(lost, F.col("first") == F.col("lost"), "left")
-    gone = every.join(classes, "kind").where((F.col("id") != F.col("first")) | F.col("lost").isNotNull())
+    rest = cut(rest.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
+    lost = settled.unionByName(_matched(base, rest, pct)) if rest.limit(1).count() else settled
+    lost = lost.distinct().select(F.col("a").alias("lost"))
+    every = lines.select(*_kind(F.col("tokens")), F.struct("doc", "no").alias("id"))
+    classes = every.groupBy("k1", "k2").agg(F.min("id").alias("first")).join(lost, F.col("first") == F.col("lost"), "left")
+    gone = every.join(classes, ["k1", "k2"]).where((F.col("id") != F.col("first")) | F.col("lost").isNotNull())
     return gone.select(F.col("id.doc").alias("doc_id"), F.col("id.no").alias("no")).distinct()
 
 
@@ -126,7 +128,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS no, list_filter(list_distinct(regexp_split_to_array(lower(ls[i]), '[^\p{L}\p{N}]+')), lambda w: w <> '') AS w
+  SELECT doc_id, i - 1 AS no, list_filter(list_distinct(string_split(replace(replace(lower(ls[i]), chr(9), ' '), chr(13), ' '), ' ')), lambda w: w <> '') AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 k AS (SELECT doc_id, no, list_sort(w) AS s, len(w) AS n FROM l WHERE len(w) > 0),
 c AS (SELECT s, n, min({'d': doc_id, 'n': no}) AS p FROM k GROUP BY s, n),

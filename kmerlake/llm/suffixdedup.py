@@ -31,8 +31,6 @@ SHALLOW, STEP = 32, 8
 GROUP = 1000
 #: Window starts handled at a time.
 PIECE = 1 << 19
-#: Per-document lists are broadcast up to this many bytes, else joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 _FIRST_ID = -(1 << 63)
 
 
@@ -195,15 +193,9 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, _CHOSEN)
 
 
-def _sized(table: DataFrame, per_row: int, items: str) -> DataFrame:
-    """The table, marked for a broadcast if its rows are known to take no more than BROADCAST_BYTES."""
-    size = table.agg((F.count("*") * per_row + F.coalesce(F.sum(F.size(items)), F.lit(0)) * 48).alias("b")).first()["b"]
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
-
-
 def _contexts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members(gram, doc, h, at, lo, hi, open) with the bytes before (reversed) and from the anchor on."""
-    lists = cut(members.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "open")).alias("own")))
+    lists = members.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "open")).alias("own"))
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("open", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +208,7 @@ def _contexts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
         yield from emit(schema, found(), 5000)
 
-    return docs.join(_sized(lists, 64, "own"), ["doc", "h"]).mapInArrow(work, "gram long, doc long, h long, at int, lo int, hi int, open boolean, left binary, right binary")
+    return docs.join(lists, ["doc", "h"]).mapInArrow(work, "gram long, doc long, h long, at int, lo int, hi int, open boolean, left binary, right binary")
 
 
 def _sorted_groups(members: DataFrame) -> DataFrame:
@@ -272,7 +264,7 @@ def _counted_groups(members: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(doc, h, text) -> (doc, h, start, end): byte ranges, with overlaps, of windows that also start elsewhere in any text."""
     every = _anchor_rows(docs)
-    grams = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    grams = cut(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # so that a hot gram's side of the join can be split
     chosen = cut(every.join(grams, "gram"))
     spans = chosen.groupBy("gram", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "h", "at", "lo", "hi")).alias("one"))
     spans = cut(spans)
@@ -321,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         yield from emit(schema, found(), 500)
 
-    joined = base.join(_sized(cut(spans), 64, "spans"), ["doc", "h"], "left")
+    joined = base.join(spans, ["doc", "h"], "left")
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

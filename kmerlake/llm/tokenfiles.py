@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ MAGIC = b"KLTOKEN1"
 END_ID = 2
 #: Rows of a shard, about.
 SHARD_ROWS = 50_000
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers; beyond it the later half goes, as common words come early.
+CACHE_WORDS = 1_000_000
 _SPACE = re.compile(r"[ \t-\r]+")
 #: str.split() splits here, the tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -66,8 +67,8 @@ class WordEncoder:
         if not new:
             return
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+            new = words.difference(self.known)
         split: dict[str, tuple[str, str]] = {}
         ask: set[str] = set()
         for w in new:

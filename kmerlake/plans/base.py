@@ -36,7 +36,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conc, read_id, seq): the ACGTU letters of the documents in pieces of 40; the source gives the concentration."""
     n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     conc = F.when(n <= 3, 0.0).when(n <= 7, 5.0).when(n <= 11, 20.0).otherwise(80.0)
-    s = sq.normalised(F.regexp_replace("text", "[^ACGTUacgtu]", ""))
+    s = sq.normalised(F.regexp_replace("text", "[^ACGTUacgtu]+", ""))
     docs = table(spark, sf_dir, "documents").select("doc_id", conc.alias("conc"), s.alias("s")).where(F.length("s") >= LENGTH)
     pieces = docs.select("doc_id", "conc", "s", F.explode(F.sequence(F.lit(0), F.floor(F.length("s") / LENGTH).cast("int") - 1)).alias("i"))
     return pieces.select("conc", (F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), F.substring("s", F.col("i") * LENGTH + 1, F.lit(LENGTH)).alias("seq"))
