@@ -34,7 +34,7 @@ def rarity(tokens: DataFrame) -> "F.Column":
 
 def ordered(tokens: "F.Column", rank: "F.Column") -> "F.Column":
     """Tokens as longs that sort by rarity; equal only for equal tokens up to hash collisions, which verification removes."""
-    return F.array_sort(F.transform(tokens, lambda t: F.get(rank, t.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(t.bitwiseAND(_LOW))))
+    return F.sort_array(F.transform(tokens, lambda t: F.get(rank, t.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(t.bitwiseAND(_LOW))))
 
 
 def prefix(tokens: "F.Column", rank: "F.Column", pct: int) -> "F.Column":
