@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import cut, documents
+from kmerlake.llm.common import BROADCAST_BYTES, cut, documents
 from kmerlake.llm.setjoin import may_match, needed, parity, percent, prefix, rarity, verified
 
 LEAST = 0.8
@@ -19,7 +19,7 @@ _FIRST_ID = -(1 << 63)
 def line_tokens(line: "F.Column") -> "F.Column":
     """Hashes of the distinct words of a line, in lower case; blanks, tabs and carriage returns end words."""
     flat = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.array_distinct(F.transform(F.filter(F.split(flat, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(flat, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _kind(tokens: "F.Column") -> tuple["F.Column", "F.Column"]:
     """128 bits that equal word sets share."""
-    own = F.array_sort(tokens)
+    own = F.sort_array(tokens)
     return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
 
 
@@ -55,7 +55,9 @@ def _bucket_rows(lines: DataFrame, pct: int) -> DataFrame:
 def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, tokens) of the lines in pairs, ids being structs of doc and no, read again from the texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = ids.groupBy(F.col("id.doc").alias("want")).agg(F.collect_list("id.no").alias("nos"))
+    wanted = cut(ids.groupBy(F.col("id.doc").alias("want")).agg(F.collect_list("id.no").alias("nos")))
+    n_bytes = wanted.agg(F.sum(F.size("nos") * 8 + 48)).first()[0] or 0
+    wanted = F.broadcast(wanted) if n_bytes <= BROADCAST_BYTES else wanted  # so that few lines are found without a shuffle of the texts
     chosen = base.join(wanted, F.col("doc") == F.col("want"))
     lines = chosen.select("doc", "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
     return lines.select(F.struct("doc", "no").alias("id"), line_tokens(F.col("line")).alias("tokens")).dropDuplicates(["id"])
