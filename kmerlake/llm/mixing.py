@@ -64,9 +64,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Keys are cut into buckets by value; bucket sums find the bucket in which each source's sum ends, and only that
     one is sorted, so a source of any size is neither gathered nor sorted whole.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    return _mix(docs, id_col, text_col, source_col, seed, weights, most)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carried: tuple[str, ...] = ()) -> DataFrame:
+    """mix(), with the carried columns of docs added to each row."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *carried)
     u = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.coalesce("text", F.lit("")))), F.lit(seed))
-    keyed = cut(base.select("doc_id", "source", words_in(F.col("text")).alias("size"), (-F.log(u) / quality_weight(F.col("text"))).alias("key")))
+    keyed = cut(base.select("doc_id", "source", words_in(F.col("text")).alias("size"), (-F.log(u) / quality_weight(F.col("text"))).alias("key"), *carried))
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = cut(
@@ -98,16 +103,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         done.unionByName(split)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """docs, all columns, each row as often as mix() takes it; rows taken no times go. Rows that share an id share the copies of all of them evenly, rounded down."""
-    taken = mix(docs, id_col, text_col, source_col, seed).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
-    taken = sized(cut(taken.withColumnRenamed("doc_id", "_taken")), 32)
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs, all columns, each row as often as mix() takes it; rows taken no times go.
+
+    Rows are found again by 128 bits of hash of id, source and text. Rows that repeat a document in full share them;
+    where mix() takes some of these once more than the others, they are numbered, by all of their columns.
+    """
+    same = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
+    marked = docs.withColumns({"_hash": F.xxhash64(*same), "_hash2": F.xxhash64(F.lit(1), *same)})
+    decided = _mix(marked, id_col, text_col, source_col, seed, carried=("_hash", "_hash2"))
+    # rows of one hash are equal in source and size, so their copies differ by one at most
+    taken = cut(
+        decided.groupBy("_hash", "_hash2")
+        .agg(F.min("copies").cast("int").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_more"))
+        .where("_copies > 0 or _more > 0")
+    )
+    found = marked.join(sized(taken.where("_more = 0").drop("_more"), 32), ["_hash", "_hash2"])
+    uneven = taken.where("_more > 0")
+    if uneven.limit(1).count():
+        order = Window.partitionBy("_hash", "_hash2").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        numbered = marked.join(sized(uneven, 32), ["_hash", "_hash2"]).withColumn("_copies", F.col("_copies") + (F.row_number().over(order) <= F.col("_more")).cast("int"))
+        found = found.unionByName(numbered.where("_copies > 0").select(*found.columns))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,29 @@ def test_mixing_awkward(spark, monkeypatch):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_mixed_takes_the_words_of_mix_for_shared_and_null_ids(spark):
+    def text(i):
+        return " ".join(f"w{i * j % 89}" for j in range(1, 2 + i % 7))
+
+    docs = spark.createDataFrame(
+        rows(
+            *((None, text(i), "a") for i in range(9)),
+            *((None, text(i + 3), "b") for i in range(60)),
+            *((i % 3, text(i), "c") for i in range(90)),
+            *((None, "the same row many times", "c") for _ in range(90)),
+            *((7, text(i), None) for i in range(20)),
+        ),
+        SCHEMA,
+    )
+    decided = mixing.mix(docs)
+    assert decided.where("copies % 2 = 1").count() and decided.groupBy("source", "size").agg(F.countDistinct("copies").alias("n")).where("n > 1").count()
+    got = mixing.mixed(docs).withColumn("size", mixing.words_in(F.col("text")))
+    for by in (["source"], ["source", "doc_id", "size"]):
+        taken = {tuple(r)[:-1]: r["words"] for r in decided.groupBy(*by).agg(F.sum("taken").alias("words")).collect() if r["words"]}
+        assert {tuple(r)[:-1]: r["words"] for r in got.groupBy(*by).agg(F.sum("size").alias("words")).collect()} == taken
+    assert got.where("text = 'the same row many times'").count() % 90
+
+
 # 7 quality
 
 
