@@ -39,14 +39,14 @@ def text_fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(count * 2 > last, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned fingerprint's bits as a long. Null texts count as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """(doc_id, fp): fp holds the unsigned fingerprint's bits as a long. Null texts count as empty. The carried columns of docs, all long, follow."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carried)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emit(schema, ((i, _signed(text_fingerprint(t))) for i, t in rows(batches, "doc_id", "text")))
+        yield from emit(schema, ((i, _signed(text_fingerprint(t)), *rest) for i, t, *rest in rows(batches, "doc_id", "text", *carried)))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried).mapInArrow(work, ", ".join(f"{c} long" for c in schema.names))
 
 
 def _signed(x: int) -> int:
@@ -194,30 +194,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the result; a null id keeps its row and never becomes a component id unless no other id is reachable. Other columns of docs are not read.
     """
     found = cut(fingerprints(docs, id_col, text_col))
+    return found.join(_classes(found, radius).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(found: DataFrame, radius: int) -> DataFrame:
+    """found(doc_id, fp) -> (root, fp, component_id) of each distinct fp; root names a component that has no id too."""
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     masks = table_masks(distinct.count(), radius)
     roots = connected_components(near_edges(distinct.select("fp"), masks, radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("root", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with one document of each component: that of the smallest id.
 
     Rows that share an id are one document, kept once (the row of the least text hash) if any of them has the
-    smallest id of its component. Rows with a null id are kept.
+    smallest id of its component. Of a component without ids the row of the least text hash is kept; rows with a
+    null id beside documents with an id are kept.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    ids = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")))
+    key, text_hash = F.col(id_col).cast("long"), F.xxhash64(text_col)
+
+    def single(repeated: DataFrame, by: "F.Column") -> DataFrame:
+        return repeated.groupBy(by.alias("_by")).agg(F.min(F.struct(text_hash.alias("_h"), *docs.columns)).alias("_row")).select("_row.*").select(*docs.columns)
+
+    found = cut(fingerprints(docs.withColumn("_hash", F.when(key.isNull(), text_hash)), id_col, text_col, "_hash"))
+    linked = cut(found.join(_classes(found, radius), "fp").select("doc_id", "component_id", "root", "_hash"))
+    ids = cut(linked.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")))
     gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(sized(gone, 32), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(sized(gone, 32), key == F.col("_gone"), "left_anti")
     again = ids.where("first and n > 1").select(F.col("doc_id").alias("_again"))
     if again.limit(1).count():
-        repeated = kept.join(again, F.col(id_col).cast("long") == F.col("_again"), "left_semi")
-        single = repeated.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(F.xxhash64(text_col).alias("_h"), *docs.columns)).alias("_row")).select("_row.*").select(*docs.columns)
-        kept = kept.join(again, F.col(id_col).cast("long") == F.col("_again"), "left_anti").unionByName(single)
+        repeated = kept.join(again, key == F.col("_again"), "left_semi")
+        kept = kept.join(again, key == F.col("_again"), "left_anti").unionByName(single(repeated, F.col(id_col)))
+    alone = cut(linked.where("doc_id is null and component_id is null").select("root", F.col("_hash").alias("_alone")).distinct())
+    if alone.limit(1).count():
+        least = alone.groupBy("root").agg(F.min("_alone").alias("_least"))
+        first = single(docs.where(key.isNull()).join(sized(least, 32), text_hash == F.col("_least"), "left_semi"), text_hash)
+        kept = kept.join(sized(alone, 32), key.isNull() & (text_hash == F.col("_alone")), "left_anti").unionByName(first)
     return kept
 
 
