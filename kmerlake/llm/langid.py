@@ -120,7 +120,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     cents, owner, radius = [], [], []
     for j in range(len(langs)):
         own = x[y == j]
-        for c, members in ((c, own) for c in _cluster(own, centroids)):
+        found = _cluster(own, centroids)
+        near = (own @ found.T).argmax(axis=1)
+        for i, c in enumerate(found):
+            members = own[near == i] if (near == i).any() else own
             cents.append(c)
             owner.append(j)
             radius.append(float(np.quantile(1 - members @ c, REJECT_QUANTILE)))

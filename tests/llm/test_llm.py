@@ -108,6 +108,14 @@ def test_language_awkward(spark):
     assert model.predict("12 34 !!")[0] == "und" and model.predict("xqzjk wvxq zzxq")[2]
 
 
+def test_radius_is_of_the_rows_nearest_to_a_centroid(spark):
+    kinds = ("abab baba abba", "xyxy yxyx yxxy", "mnmn nmnm nmmn", "qrqr rqrq rqqr")
+    docs = spark.createDataFrame([(i, f"{kinds[i % 4]} {kinds[i % 4][: 2 + i % 5]}", "en") for i in range(200)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.radius) == 4 and (model.radius < 0.5).all()
+    assert model.predict("abab xyxy mnmn qrqr")[2] and not model.predict(kinds[0])[2]
+
+
 # 2 token counts
 
 
