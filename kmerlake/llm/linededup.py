@@ -4,52 +4,85 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import BROADCAST_BYTES, cut, documents
-from kmerlake.llm.setjoin import may_match, needed, parity, percent, prefix, rarity, verified
+from kmerlake.llm.common import BROADCAST_BYTES, cut, documents, fresh_path
+from kmerlake.llm.setjoin import long_parity, may_match, needed, parity, percent, prefix_size, ranked, rarity, shared, verified
 
 LEAST = 0.8
 #: Buckets of a prefix token above this many classes are settled around their earliest class before any self-join.
 HOT = 1024
 _FIRST_ID = -(1 << 63)
+#: Columns that equal word sets share.
+KIND = ("k", "n", "bits")
+
+
+def _spaced(line: "F.Column") -> "F.Column":
+    return F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+
+
+def _words(spaced: "F.Column") -> "F.Column":
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def line_tokens(line: "F.Column") -> "F.Column":
     """Hashes of the distinct words of a line, in lower case; blanks, tabs and carriage returns end words."""
-    flat = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.array_distinct(F.transform(F.array_remove(F.split(flat, " "), ""), lambda w: F.xxhash64(w)))
-
+    return F.array_distinct(F.transform(_words(_spaced(line)), lambda w: F.xxhash64(w)))
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, tokens) of every line that has a word."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.select("doc", "no", line_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
 
+def _line_table(base: DataFrame, pct: int) -> DataFrame:
+    """(doc, no, k, n, bits, more, prefix) of every line that has a word, written in the shared folder.
 
-def _kind(tokens: "F.Column") -> tuple["F.Column", "F.Column"]:
-    """128 bits that equal word sets share."""
-    own = F.sort_array(tokens)
-    return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
+    k, n and bits tell a word set from all others; prefix is null where only an equal set can match. The tokens
+    themselves are not kept: those of the few lines that get as far as a comparison are cut out of the texts again.
+    """
+    base = base.select("doc", _spaced(F.col("text")).alias("text"))
+    words = base.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).select(F.xxhash64("word").alias("token"))
+    lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("rank", rarity(words))
+    own = F.transform(_words(F.col("line")), lambda w: ranked(F.xxhash64(w), F.col("rank")))
+    own = lines.select("doc", "no", F.sort_array(F.array_distinct(own)).alias("tokens")).withColumn("n", F.size("tokens"))
+    n = F.col("n")
+    short = F.transform(F.slice("tokens", F.lit(1), prefix_size(n, pct)), lambda t: F.hash(t))
+    own = own.select(
+        "doc", "no", F.xxhash64("tokens").alias("k"), "n", parity(F.col("tokens")).alias("bits"), long_parity(F.col("tokens"), n).alias("more"),
+        F.when((needed(n, pct) < n) | (F.floor(n * 100 / pct) > n), short).alias("prefix"),
+    )
+    path = fresh_path(base.sparkSession, "lines")
+    own.write.parquet(path)
+    return base.sparkSession.read.parquet(path).where("n > 0")
 
 
 def _later(x: str, y: str) -> "F.Column":
     return (F.col(f"{x}.doc") > F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.no") > F.col(f"{y}.no")))
 
 
-def _bucket_rows(lines: DataFrame, pct: int) -> DataFrame:
-    """Prefix rows (token, doc, no, n, i, bits) of the first line of each class that an unequal class can match, dealt by token."""
-    n = F.size("tokens")
-    least = needed(n, pct)
-    short = F.transform(prefix(F.col("tokens"), F.col("rank"), pct), lambda t: F.hash(t))
-    shaped = lines.select(
-        *_kind(F.col("tokens")),
-        F.struct("doc", "no", n.alias("n"), parity(F.col("tokens")).alias("bits"), F.when((least < n) | (F.floor(n * 100 / pct) > n), short).alias("prefix")).alias("f"),
-    )
-    firsts = shaped.groupBy("k1", "k2").agg(F.min("f").alias("f")).select("f.*").where("prefix is not null")
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return firsts.select("doc", "no", "n", "bits", F.posexplode("prefix").alias("i", "token")).repartition(parts, "token")
+def _bucket_rows(lines: DataFrame) -> DataFrame:
+    """Prefix rows (token, doc, no, n, i, bits, more, sets) of the first line of each class that an unequal class can match; sets: rows of the token."""
+    firsts = lines.where("prefix is not null").groupBy(*KIND).agg(F.min(F.struct("doc", "no", "more", "prefix")).alias("f"))
+    rows = firsts.select("f.doc", "f.no", "n", "bits", "f.more", F.posexplode("f.prefix").alias("i", "token"))
+    # Without nulls no reader of the shuffle gets a filter of its own, so all of them share one.
+    return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns]).withColumn("sets", F.count("*").over(Window.partitionBy("token")))
+
+
+def _candidates(lines: DataFrame, pct: int) -> DataFrame:
+    """Pairs (adoc, ano, bdoc, bno) of a class and an earlier one that may match, and the rows (token, adoc, ano, n, i, bits, more) of hot tokens.
+
+    The shorter set of a match holds the first token they share in the part of its prefix that any longer set needs,
+    so one side of the join has those rows only.
+    """
+    dealt = _bucket_rows(lines)
+    x = dealt.alias("x")
+    y = dealt.where((F.col("sets") <= HOT) & (F.col("i") <= F.col("n") - shared(F.col("n"), F.col("n"), pct))).alias("y")
+    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & _later("x", "y"))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & longer & may_match(pct, "x", "y"), "left")
+    many = F.col("x.sets") > HOT
+    first = _later("y", "x")
+    return both.where(F.col("y.doc").isNotNull() | many).select(
+        *[F.when(~many & first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"a{c}") for c in ("doc", "no")],
+        *[F.when(~many, F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))).alias(f"b{c}") for c in ("doc", "no")],
+        *[F.when(many, F.col(f"x.{c}")).alias(c) for c in ("token", "n", "i", "bits", "more")],
+    ).distinct()
 
 
 def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -64,7 +97,12 @@ def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _matched(base: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
-    return cut(verified(pairs, _tokens_of(base, pairs), pct).select("a").distinct())
+    """(a) that match a b of theirs. Each is held against its earliest b first; only where that fails are its others looked at."""
+    tokens = cut(_tokens_of(base, pairs))
+    firsts = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    found = cut(verified(firsts, tokens, pct).select("a"))
+    others = pairs.join(found, "a", "left_anti").join(firsts, ["a", "b"], "left_anti")
+    return cut(found.unionByName(verified(others, tokens, pct).select("a").distinct()))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -78,20 +116,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     pct = percent(least)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(base)
-    dealt = _bucket_rows(lines.withColumn("rank", rarity(lines.select("tokens"))), pct)
-    own = F.struct("doc", "no", "n", "i", "bits")
-    buckets = dealt.groupBy("token").agg(F.count("*").alias("sets"), F.min(own).alias("p")).where("sets > 1")
-    seen = dealt.join(buckets, "token")
-    x = seen.where(F.col("sets") <= HOT).alias("x")
-    cold = x.join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & _later("x", "y") & may_match(pct, "x", "y"))
-    cold = cold.select(F.struct("x.doc", "x.no").alias("a"), F.struct("y.doc", "y.no").alias("b"))
-    hot = seen.where(F.col("sets") > HOT).select("token", own.alias("x"), F.col("p").alias("y"))
-    found = cut(cold.unionByName(hot, allowMissingColumns=True))
-
-    hot = found.where("token is not null")
+    lines = _line_table(base, pct)
+    found = cut(_candidates(lines, pct))
+    pairs = found.where("token is null").select(F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no")).alias("a"), F.struct(F.col("bdoc").alias("doc"), F.col("bno").alias("no")).alias("b"))
+    hot = found.where("token is not null").select("token", F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no"), "n", "i", "bits", "more").alias("x"))
+    hot = hot.join(hot.groupBy("token").agg(F.min("x").alias("y")), "token")
     around = hot.where(_later("x", "y") & may_match(pct, "x", "y")).select(F.struct("x.doc", "x.no").alias("a"), F.struct("y.doc", "y.no").alias("b"))
-    settled = _matched(base, found.where("token is null").select("a", "b").unionByName(around).distinct(), pct)
+    settled = _matched(base, pairs.unionByName(around.distinct()), pct)
 
     base_log = math.log(100 / pct)
     hot = hot.select("token", F.struct("x.doc", "x.no").alias("a"), "x.*").withColumn("level", F.floor(F.log("n") / base_log).cast("int"))
@@ -100,9 +131,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = cut(rest.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
     lost = settled.unionByName(_matched(base, rest, pct)) if rest.limit(1).count() else settled
     lost = lost.distinct().select(F.col("a").alias("lost"))
-    every = lines.select(*_kind(F.col("tokens")), F.struct("doc", "no").alias("id"))
-    classes = every.groupBy("k1", "k2").agg(F.min("id").alias("first")).join(lost, F.col("first") == F.col("lost"), "left")
-    gone = every.join(classes, ["k1", "k2"]).where((F.col("id") != F.col("first")) | F.col("lost").isNotNull())
+    every = lines.select(*KIND, F.struct("doc", "no").alias("id"))
+    classes = every.groupBy(*KIND).agg(F.min("id").alias("first"), F.count("*").alias("lines")).join(lost, F.col("first") == F.col("lost"), "left")
+    classes = classes.where("lines > 1 or lost is not null")
+    gone = every.join(classes, list(KIND)).where((F.col("id") != F.col("first")) | F.col("lost").isNotNull())
     return gone.select(F.col("id.doc").alias("doc_id"), F.col("id.no").alias("no")).distinct()
 
 
