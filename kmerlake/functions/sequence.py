@@ -38,9 +38,21 @@ def padded(seq: str | Column, k: int, adapter_5: str = ADAPTER_5, adapter_3: str
 
 
 def kmers(seq: str | Column, k: int) -> Column:
-    """Array of the k-mers of a sequence in order; empty if it is shorter."""
-    s = col(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda p: F.substring(s, p, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of the k-mers of a sequence in order; empty if it is shorter. One pass over the sequence, which is evaluated once.
+
+    Letters are taken as single UTF-16 units, as those of sequences are.
+    """
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
+def valid_kmers(seq: str | Column, k: int) -> Column:
+    """The k-mers over ACGU of any text in order: windows with another letter are left out."""
+    return F.regexp_extract_all(normalised(seq), F.lit(f"(?=([ACGU]{{{k}}}))"), F.lit(1))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def kmer_index(kmer: str | Column) -> Column:

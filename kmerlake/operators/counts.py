@@ -24,8 +24,7 @@ def kmer_counts_deduplicated(reads: DataFrame, k: int, pad: bool = True) -> Data
 
 def valid_kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
     """(kmer, n) of any sequences, without windows that hold a letter other than ACGU."""
-    found = sequences.select(F.explode(sq.kmers(sq.normalised("seq"), k)).alias("kmer"))
-    return found.where(sq.is_canonical("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return sequences.select(F.explode(sq.valid_kmers("seq", k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def counts_per_read(reads: DataFrame, k: int) -> DataFrame:
@@ -103,14 +102,16 @@ def count_and_last(reads: DataFrame, kmer: str) -> DataFrame:
 def _hits(reads: DataFrame, wanted: list[str], pad: bool = False) -> DataFrame:
     k = len(wanted[0])
     seq = sq.padded("seq", k) if pad else F.col("seq")
-    own = F.transform(sq.kmers(seq, k), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    return reads.select("conc", "read_id", F.filter(own, lambda h: h["kmer"].isin(*wanted)).alias("hits"))
+    rows = reads.select("conc", "read_id", seq.alias("seq")).where(F.col("seq").rlike("|".join(wanted)))
+    own = F.transform(sq.kmers("seq", k), lambda x, i: F.when(x.isin(*wanted), F.struct(i.alias("pos"), x.alias("kmer"))))
+    return rows.select("conc", "read_id", F.array_compact(own).alias("hits"))
 
 
 def _pairs(hits: DataFrame, least: int) -> DataFrame:
-    """(conc, kmer_a, kmer_b, dist) of ordered hits of a read at least `least` apart, made within each row."""
-    pairs = F.flatten(F.transform("hits", lambda a: F.transform(F.filter("hits", lambda b: b["pos"] - a["pos"] >= least), lambda b: F.struct(a["kmer"].alias("a"), b["kmer"].alias("b"), (b["pos"] - a["pos"]).alias("dist")))))
-    return hits.where(F.size("hits") > 1).select("conc", F.explode(pairs).alias("p")).select("conc", F.col("p.a").alias("kmer_a"), F.col("p.b").alias("kmer_b"), F.col("p.dist").alias("dist"))
+    """(conc, kmer_a, kmer_b, dist) of ordered hits of a read at least `least` apart, made from each row alone."""
+    first = hits.select("conc", "hits", F.posexplode("hits").alias("i", "a"))
+    pairs = first.select("conc", "a", F.explode(F.slice("hits", F.col("i") + 2, F.greatest(F.size("hits") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    return pairs.select("conc", F.col("a.kmer").alias("kmer_a"), F.col("b.kmer").alias("kmer_b"), (F.col("b.pos") - F.col("a.pos")).alias("dist")).where(F.col("dist") >= least)
 
 
 def cooccurrence(reads: DataFrame, wanted: list[str]) -> DataFrame:
@@ -120,8 +121,9 @@ def cooccurrence(reads: DataFrame, wanted: list[str]) -> DataFrame:
 
 def joint_frequencies(reads: DataFrame, k: int, pseudo: float = 1.0) -> DataFrame:
     """(conc, dist, kmer_a, kmer_b, f): share of each pair of k-mers that do not overlap among those at its distance, adapters included; seen pairs only, the pseudo-count spread over all 16**k."""
-    own = F.transform(sq.kmers(sq.padded("seq", k), k), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    n = _pairs(reads.select("conc", "read_id", own.alias("hits")), k).groupBy("conc", "dist", "kmer_a", "kmer_b").agg(F.count("*").alias("n"))
+    rows = reads.select("conc", sq.kmers(sq.padded("seq", k), k).alias("own")).select("conc", "own", F.posexplode("own").alias("i", "kmer_a"))
+    rows = rows.select("conc", "kmer_a", F.posexplode(F.slice("own", F.col("i") + k + 1, F.greatest(F.size("own") - F.col("i") - k, F.lit(0)))).alias("j", "kmer_b"))
+    n = rows.groupBy("conc", (F.col("j") + k).alias("dist"), "kmer_a", "kmer_b").agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy("conc", "dist")) + pseudo * 16**k
     return n.select("conc", "dist", "kmer_a", "kmer_b", ((F.col("n") + pseudo) / whole).alias("f"))
 
@@ -131,11 +133,11 @@ def expected_cooccurrence(profile: DataFrame, totals_: DataFrame, wanted: list[s
     k = len(wanted[0])
     width = length - k + 1
     own = profile.where(F.col("kmer").isin(*wanted))
-    a = own.join(F.broadcast(totals_), "conc").select("conc", F.col("kmer").alias("kmer_a"), F.col("pos").alias("m"), (F.col("n") / F.col("reads")).alias("f"))
+    a = own.join(F.broadcast(totals_), "conc").select("conc", F.col("kmer").alias("kmer_a"), F.col("pos").alias("m"), "n", "reads")
     b = own.select("conc", F.col("kmer").alias("kmer_b"), F.col("pos").alias("at"), F.col("n").alias("n_b"))
     pairs = a.join(b, "conc").withColumn("dist", F.col("at") - F.col("m")).where("dist > 0")
     agrees = (F.col("dist") >= k) | (F.expr(f"substring(kmer_a, dist + 1, {k})") == F.expr(f"substring(kmer_b, 1, {k} - dist)"))
-    return pairs.where(agrees).groupBy("conc", "kmer_a", "kmer_b", "dist").agg((F.sum(F.col("f") * F.col("n_b")) / (F.lit(width) - F.first("dist"))).alias("expected"))
+    return pairs.where(agrees).groupBy("conc", "kmer_a", "kmer_b", "dist").agg((F.sum(F.col("n") * F.col("n_b")) / F.first("reads") / (F.lit(width) - F.first("dist"))).alias("expected"))
 
 
 def core_flank_profile(reads: DataFrame, k_core: int, k_flank: int, pseudo: float = 1.0) -> DataFrame:

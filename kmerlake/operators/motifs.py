@@ -170,19 +170,19 @@ def site_weights(seq: Column, motif: Motif, acc: Column | None = None, offset: i
 
     A sequence shorter than the motif has no window; a letter other than ACGU counts 0.
     """
-    w = motif.width
-    flat = F.array(*[F.lit(float(x)) for row in motif.matrix for x in row])
+    cells = [F.array(*[F.lit(float(v)) for v in row]) for row in motif.matrix]
 
-    def product(p: Column) -> Column:
+    def product(window: Column) -> Column:
         out = None
-        for d in range(w):
-            at = F.instr(F.lit("ACGU"), F.substring(seq, p + d, F.lit(1)))
-            x = F.when(at > 0, F.get(flat, at - 1 + 4 * d)).otherwise(0.0)
+        for d, row in enumerate(cells):
+            x = F.coalesce(F.get(row, F.instr(F.lit("ACGU"), F.substring(window, d + 1, 1)) - 1), F.lit(0.0))
             out = x if out is None else out * x
         return out
 
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - w + 1, F.lit(1))), product if acc is None else (lambda p: product(p) * F.coalesce(F.get(acc, p - 1 + offset), F.lit(0.0))))
-    return F.when(F.length(seq) >= w, windows).otherwise(F.array().cast("array<double>"))
+    windows = sq.kmers(seq, motif.width)
+    if acc is None:
+        return F.transform(windows, product)
+    return F.transform(windows, lambda x, i: product(x) * F.coalesce(F.get(acc, i + offset), F.lit(0.0)))
 
 
 def kmer_affinities(spark: SparkSession, motif: Motif, floor: float = 0.0) -> DataFrame:

@@ -33,13 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conc, read_id, seq): the ACGTU letters of the documents in pieces of 40; the source gives the concentration."""
+    """(conc, read_id, seq): the ACGTU letters of the documents in pieces of 40, the last one cut from the end; the source gives the concentration. Texts with fewer letters make no read."""
     n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     conc = F.when(n <= 3, 0.0).when(n <= 7, 5.0).when(n <= 11, 20.0).otherwise(80.0)
-    s = sq.normalised(F.regexp_replace("text", "[^ACGTUacgtu]+", ""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", conc.alias("conc"), s.alias("s")).where(F.length("s") >= LENGTH)
-    pieces = docs.select("doc_id", "conc", "s", F.explode(F.sequence(F.lit(0), F.floor(F.length("s") / LENGTH).cast("int") - 1)).alias("i"))
-    return pieces.select("conc", (F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), F.substring("s", F.col("i") * LENGTH + 1, F.lit(LENGTH)).alias("seq"))
+    none = F.array().cast("array<string>")
+    cut = lambda s: F.concat(F.regexp_extract_all(s, F.lit(f".{{{LENGTH}}}"), F.lit(0)), F.when((F.length(s) > LENGTH) & (F.length(s) % LENGTH > 0), F.array(sq.right(s, LENGTH))).otherwise(none))
+    pieces = sq.bound(sq.normalised(F.regexp_replace("text", "[^ACGTUacgtu]+", "")), cut)
+    docs = table(spark, sf_dir, "documents").select("doc_id", conc.alias("conc"), F.posexplode(pieces).alias("i", "seq"))
+    return docs.select("conc", (F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), "seq")
 
 
 def folded(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -48,8 +49,8 @@ def folded(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 READS = f"""reads AS (
-  SELECT (CASE WHEN n <= 3 THEN 0 WHEN n <= 7 THEN 5 WHEN n <= 11 THEN 20 ELSE 80 END)::DOUBLE AS conc, doc_id * 100000 + i AS read_id, substring(s, 1 + {LENGTH} * i, {LENGTH}) AS seq
-  FROM (SELECT doc_id, n, s, unnest(range(0, length(s) // {LENGTH})) AS i
+  SELECT (CASE WHEN n <= 3 THEN 0 WHEN n <= 7 THEN 5 WHEN n <= 11 THEN 20 ELSE 80 END)::DOUBLE AS conc, doc_id * 100000 + i AS read_id, substring(s, 1 + least({LENGTH} * i, length(s) - {LENGTH}), {LENGTH}) AS seq
+  FROM (SELECT doc_id, n, s, unnest(range(0, (length(s) + {LENGTH - 1}) // {LENGTH})) AS i
     FROM (SELECT doc_id, substring(source, 4)::INTEGER AS n, replace(upper(regexp_replace(text, '[^ACGTUacgtu]', '', 'g')), 'T', 'U') AS s FROM documents) WHERE length(s) >= {LENGTH}))"""
 
 

@@ -121,7 +121,7 @@ def _(spark, d):
 COOC = f"""{READS}, {km(3)}, hit AS (SELECT * FROM km WHERE kmer IN ({QUOTED['cores']})),
 cooc AS (SELECT a.conc, a.kmer AS kmer_a, b.kmer AS kmer_b, b.pos - a.pos AS dist, count(*) AS n FROM hit a JOIN hit b ON a.read_id = b.read_id AND a.conc = b.conc AND b.pos > a.pos GROUP BY ALL)"""
 EXPECTED = f"""prof AS (SELECT conc, kmer, pos, count(*) AS n FROM hit GROUP BY ALL), tot AS (SELECT conc, count(*) AS reads FROM reads GROUP BY conc),
-expected AS (SELECT a.conc, a.kmer AS kmer_a, b.kmer AS kmer_b, b.pos - a.pos AS dist, sum(a.n / t.reads::DOUBLE * b.n) / (38 - (b.pos - a.pos)) AS expected
+expected AS (SELECT a.conc, a.kmer AS kmer_a, b.kmer AS kmer_b, b.pos - a.pos AS dist, sum(a.n * b.n)::DOUBLE / max(t.reads) / (38 - (b.pos - a.pos)) AS expected
 FROM prof a JOIN prof b ON a.conc = b.conc AND b.pos > a.pos JOIN tot t ON t.conc = a.conc
 WHERE b.pos - a.pos >= 3 OR substring(a.kmer, b.pos - a.pos + 1) = substring(b.kmer, 1, 3 - (b.pos - a.pos)) GROUP BY a.conc, a.kmer, b.kmer, b.pos - a.pos)"""
 
