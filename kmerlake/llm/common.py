@@ -49,6 +49,12 @@ def sized(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... that clash with no column an operator adds, and the new name of each old one, upper or lower case."""
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return inner, {k: new for old, new in zip(docs.columns, inner.columns) for k in (old, old.lower(), old.upper())}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import BROADCAST_BYTES, cut, documents, fresh_path
+from kmerlake.llm.common import BROADCAST_BYTES, cut, documents, fresh_path, plain_names
 from kmerlake.llm.setjoin import long_parity, may_match, needed, parity, percent, prefix_size, ranked, rarity, shared, verified
 
 LEAST = 0.8
@@ -149,11 +149,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs, all columns, with the later matches taken out of its texts."""
-    gone = removed_lines(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("no").alias("_gone"))
-    joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)) == F.col("_doc"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """docs, all columns, with the later matches taken out of its texts. Other columns may have any names."""
+    inner, name = plain_names(docs)
+    key, text = F.col(name[id_col]).cast("long"), F.col(name[text_col])
+    gone = removed_lines(inner, name[id_col], name[text_col], least).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("no").alias("_gone"))
+    joined = inner.join(gone, F.coalesce(key, F.lit(_FIRST_ID)) == F.col("_doc"), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
+    return joined.withColumn(name[text_col], F.when(F.col("_gone").isNull(), text).otherwise(kept)).select(*inner.columns).toDF(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

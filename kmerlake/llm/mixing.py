@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import cut, documents, sized
+from kmerlake.llm.common import cut, documents, plain_names, sized
 
 WEIGHTS = (5, 2, 1)
 #: A target stops at this many times its source's size.
 MOST = 3
 #: Rows of a source that share a key bucket, about; only one bucket of each source is sorted.
 BUCKET_ROWS = 10_000
+#: Bytes of a source's row in the tables of sources, which are broadcast while they are small.
+SOURCE_BYTES = 200
 
 
 def words_in(text: "F.Column") -> "F.Column":
@@ -79,8 +81,9 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
         .withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
     )
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))
-    joined = keyed.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
+    # Whatever the weights, at most 37 % of a source's keys are expected within a factor of e, so a bucket holds fewer than BUCKET_ROWS.
+    bucket = F.floor(F.log("key") * F.col("buckets"))
+    joined = keyed.join(sized(plan.withColumnRenamed("source", "s"), SOURCE_BYTES), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
     sums = joined.groupBy("source", "part", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
@@ -88,7 +91,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
         .where((F.col("before") <= F.col("part")) & (F.col("part") < F.col("before") + F.col("words")))
         .select(F.col("source").alias("s"), F.col("bucket").alias("last"), "before")
     )
-    placed = joined.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    placed = joined.join(sized(cut(ends), SOURCE_BYTES), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     done = placed.where(F.col("last").isNull() | (F.col("bucket") != F.col("last"))).withColumn("extra", F.when(F.col("bucket") < F.col("last"), 1).otherwise(0))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     split = (
@@ -111,8 +114,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs, all columns, each row as often as mix() takes it; rows taken no times go.
 
     Rows are found again by 128 bits of hash of id, source and text. Rows that repeat a document in full share them;
-    where mix() takes some of these once more than the others, they are numbered, by all of their columns.
+    where mix() takes some of these once more than the others, they are numbered, by all of their columns. Any other
+    columns may have any names; an empty table gives an empty table.
     """
+    inner, name = plain_names(docs)
+    return _mixed(inner, name[id_col], name[text_col], name[source_col], seed).toDF(*docs.columns)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     same = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c))]
     marked = docs.withColumns({"_hash": F.xxhash64(*same), "_hash2": F.xxhash64(F.lit(1), *same)})
     decided = _mix(marked, id_col, text_col, source_col, seed, carried=("_hash", "_hash2"))
@@ -155,7 +164,7 @@ t AS (
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs, ceil(n / 10000) AS buckets FROM t),
 j AS (
-  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS part, floor((1 - exp(-key)) * buckets) AS bucket
+  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS part, floor(ln(key) * buckets) AS bucket
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY bucket, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS through FROM j),

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import cut, documents, emit, rows, sized
+from kmerlake.llm.common import cut, documents, emit, plain_names, rows, sized
 from kmerlake.llm.components import connected_components
 
 RADIUS = 3
@@ -212,12 +212,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share an id are one document, kept once (the row of the least text hash) if any of them has the
     smallest id of its component. Of a component without ids the row of the least text hash is kept; rows with a
-    null id beside documents with an id are kept.
+    null id beside documents with an id are kept. Any other columns may have any names and types; an empty table
+    gives an empty table.
     """
+    inner, name = plain_names(docs)
+    return _one_of_each(inner, name[id_col], name[text_col], radius).toDF(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     key, text_hash = F.col(id_col).cast("long"), F.xxhash64(text_col)
 
     def single(repeated: DataFrame, by: "F.Column") -> DataFrame:
-        return repeated.groupBy(by.alias("_by")).agg(F.min(F.struct(text_hash.alias("_h"), *docs.columns)).alias("_row")).select("_row.*").select(*docs.columns)
+        row = F.struct(*docs.columns)
+        return repeated.groupBy(by.alias("_by")).agg(F.min_by(row, F.struct(text_hash, F.xxhash64(F.to_json(row)))).alias("_row")).select("_row.*")
 
     found = cut(fingerprints(docs.withColumn("_hash", F.when(key.isNull(), text_hash)), id_col, text_col, "_hash"))
     linked = cut(found.join(_classes(found, radius), "fp").select("doc_id", "component_id", "root", "_hash"))
