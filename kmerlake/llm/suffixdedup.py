@@ -19,13 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerlake.llm.common import _powers, cut, documents, emit, mix64, rows
 
 LENGTH = 400
 GRAM = 128
+#: Bytes of a passage, about 40 words, that `n_shared` never misses where it starts elsewhere too.
+PASSAGE = 256
 #: Depth in bytes at which multikey quicksort hands over to blind tries, and the bytes it compares at a step.
 SHALLOW, STEP = 32, 8
 GROUP = 1000
@@ -34,29 +36,45 @@ PIECE = 1 << 19
 _FIRST_ID = -(1 << 63)
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    up, down = _powers()
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    return mix64((prefix[gram:] - prefix[:-gram]) * down[: len(data) - gram + 1])
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each `width` neighbouring hashes, the first of equal ones."""
+    n = len(h)
+    low = np.uint64((1 << 20) - 1)
+    padded = np.full(-(-n // width) * width, ~np.uint64(0))
+    padded[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
+    block = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(block, axis=1).ravel()
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.arange(n - width + 1)
+    return (np.minimum(behind[start], ahead[start + width - 1]) & low).astype(np.int64)
+
+
 def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(gram hash, anchor, first and last window start) for each anchor of the text, a piece of it at a time."""
     data = np.frombuffer(raw, np.uint8)
-    width = length - gram + 1
-    up, down = _powers()
     for base in range(0, max(0, len(data) - length + 1), PIECE):
-        a = data[base : base + PIECE + length - 1].astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(a * up[: len(a)], out=prefix[1:])
-        h = mix64((prefix[gram:] - prefix[:-gram]) * down[: len(a) - gram + 1])
-        n = len(h)
-        low = np.uint64((1 << 20) - 1)
-        padded = np.full(-(-n // width) * width, ~np.uint64(0))
-        padded[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
-        block = padded.reshape(-1, width)
-        ahead = np.minimum.accumulate(block, axis=1).ravel()
-        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        start = np.arange(len(a) - length + 1)
-        least = (np.minimum(behind[start], ahead[start + width - 1]) & low).astype(np.int64)
+        h = _gram_hashes(data[base : base + PIECE + length - 1], gram)
+        least = _least(h, length - gram + 1)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        last = np.append(first[1:] - 1, len(start) - 1)
         at = least[first]
-        yield h[at], base + at, base + first, base + last
+        yield h[at], base + at, base + first, base + np.append(first[1:] - 1, len(least) - 1)
+
+
+def passage_grams(raw: bytes, passage: int = PASSAGE, gram: int = GRAM) -> np.ndarray:
+    """Hashes of the distinct sequences of `gram` bytes that are the least of some string of `passage` bytes: each such string has one, chosen by its bytes alone."""
+    data = np.frombuffer(raw, np.uint8)
+    found = [np.empty(0, np.uint64)]
+    for base in range(0, max(0, len(data) - passage + 1), PIECE):
+        h = _gram_hashes(data[base : base + PIECE + passage - 1], gram)
+        found.append(h[np.unique(_least(h, passage - gram + 1))])
+    return np.concatenate(found)
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -196,6 +214,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 def _contexts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members(gram, doc, h, at, lo, hi, open) with the bytes before (reversed) and from the anchor on."""
     lists = members.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "open")).alias("own"))
+    again = Window.partitionBy("doc", "h").orderBy("h")
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("open", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +227,8 @@ def _contexts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
         yield from emit(schema, found(), 5000)
 
-    return docs.join(lists, ["doc", "h"]).mapInArrow(work, "gram long, doc long, h long, at int, lo int, hi int, open boolean, left binary, right binary")
+    once = docs.withColumn("before", F.lag("h").over(again)).where("before is null").drop("before")  # a row repeated in full gives its contexts once
+    return once.join(lists, ["doc", "h"]).mapInArrow(work, "gram long, doc long, h long, at int, lo int, hi int, open boolean, left binary, right binary")
 
 
 def _sorted_groups(members: DataFrame) -> DataFrame:
@@ -277,6 +297,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return found.unionByName(_counted_groups(_contexts(docs, large))) if large.limit(1).count() else found
 
 
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """docs(doc, h, text) -> (doc, h, n_shared): how many of a text's chosen `GRAM`-byte sequences are chosen in another row too, 0 left out.
+
+    A string of `PASSAGE` bytes or more that two rows hold makes n_shared 1 at least for both; fewer than `GRAM` never do.
+    """
+    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("h", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, h, text in rows(batches, "doc", "h", "text"):
+            grams = np.unique(passage_grams(text.encode("utf-8", "surrogatepass"))).view(np.int64)
+            yield pa.record_batch([pa.array(grams), pa.array(np.full(len(grams), doc)), pa.array(np.full(len(grams), h))], schema=schema)
+
+    chosen = docs.mapInArrow(work, "gram long, doc long, h long")
+    again = cut(chosen.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # so that a hot sequence's side of the join can be split
+    return chosen.join(again, "gram").distinct().groupBy("doc", "h").agg(F.count("*").alias("n_shared"))
+
+
 def without_repeats(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(remaining bytes, removed bytes, maximal removed runs)."""
     kept, place, removed, n = [], 0, 0, 0
@@ -295,27 +332,31 @@ def without_repeats(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, in
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every row's text as UTF-8 bytes without those that a `LENGTH`-byte string covers which also starts anywhere else.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_shared): every row's text as UTF-8 bytes without those that a `LENGTH`-byte string covers which also starts anywhere else.
 
     Judged on the input, overlaps count, matches never cross texts. Null texts count as empty; texts shorter than
     `LENGTH` bytes are kept whole; a row repeated in full repeats its text and loses all of it if it is long enough.
+    Null ids are returned as null and told apart by their texts; an empty table gives an empty table. Nothing is
+    removed for n_shared, which reports passages shared with other rows that may be too short for that: shared_passages().
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    spans = repeated_spans(base.select("doc", "h", "text")).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    texts = base.select("doc", "h", "text")
+    found = repeated_spans(texts).unionByName(shared_passages(texts), allowMissingColumns=True)
+    spans = found.groupBy("doc", "h").agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.max("n_shared").alias("n_shared"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_shared", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for doc_id, text, own in rows(batches, "doc_id", "text", "spans"):
+            for doc_id, text, own, n_shared in rows(batches, "doc_id", "text", "spans", "n_shared"):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept, removed, n = without_repeats(raw, [(o["start"], o["end"]) for o in own or ()])
-                yield doc_id, len(raw), removed, n, kept
+                yield doc_id, len(raw), removed, n, kept, n_shared or 0
 
         yield from emit(schema, found(), 500)
 
     joined = base.join(spans, ["doc", "h"], "left")
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
