@@ -56,25 +56,24 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[start], ahead[start + width - 1]) & low).astype(np.int64)
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, anchor, first and last window start) for each anchor of the text, a piece of it at a time."""
-    data = np.frombuffer(raw, np.uint8)
-    for base in range(0, max(0, len(data) - length + 1), PIECE):
-        h = _gram_hashes(data[base : base + PIECE + length - 1], gram)
-        least = _least(h, length - gram + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        at = least[first]
-        yield h[at], base + at, base + first, base + np.append(first[1:] - 1, len(least) - 1)
-
+def anchors(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram hashes, chosen places, anchors, first and last window start), a piece of the text at a time, places counted from the piece's start but for the window starts.
 
-def passage_grams(raw: bytes, passage: int = PASSAGE, gram: int = GRAM) -> np.ndarray:
-    """Hashes of the distinct sequences of `gram` bytes that are the least of some string of `passage` bytes: each such string has one, chosen by its bytes alone."""
+    Anchors are the places of the least sequence of some window of `LENGTH` bytes; chosen places those of the least
+    of some string of `PASSAGE` bytes, among them all anchors. Both depend on the string's bytes alone.
+    """
     data = np.frombuffer(raw, np.uint8)
-    found = [np.empty(0, np.uint64)]
-    for base in range(0, max(0, len(data) - passage + 1), PIECE):
-        h = _gram_hashes(data[base : base + PIECE + passage - 1], gram)
-        found.append(h[np.unique(_least(h, passage - gram + 1))])
-    return np.concatenate(found)
+    for base in range(0, max(0, len(data) - PASSAGE + 1), PIECE):
+        h = _gram_hashes(data[base : base + PIECE + LENGTH - 1], GRAM)
+        chosen = np.unique(_least(h, PASSAGE - GRAM + 1))
+        width = LENGTH - GRAM + 1
+        if len(h) < width:
+            none = np.empty(0, np.int64)
+            yield h, chosen, none, none, none
+            continue
+        least = _least(h, width)
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        yield h, chosen, least[first], base + first, base + np.append(first[1:] - 1, len(least) - 1)
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -196,17 +195,38 @@ def repeated_windows(left: list[bytes], right: list[bytes], most: np.ndarray, le
 _CHOSEN = "gram long, s1 long, s2 long, doc long, h long, at int, lo int, hi int"
 
 
+def _repeated_grams(docs: DataFrame) -> DataFrame:
+    """(gram, other) of the sequences chosen at more than one place; other: in more than one row. Pre-aggregated within each row."""
+    schema = pa.schema([("gram", pa.int64()), ("own", pa.bool_())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in rows(batches, "text"):
+            grams = [h[chosen] for h, chosen, *_ in anchors(text.encode("utf-8", "surrogatepass"))]
+            if grams:
+                found, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n > 1)], schema=schema)
+
+    found = docs.select("text").mapInArrow(work, "gram long, own boolean").groupBy("gram").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    return found.where("n > 1 or own").select("gram", (F.col("n") > 1).alias("other"))
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """(gram, s1, s2, doc, h, at, lo, hi) of every anchor, s1 and s2 hashing its span; only gram, doc and h of the other chosen places."""
     schema = pa.schema([("gram", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for doc, h, text in rows(batches, "doc", "h", "text"):
-            raw = text.encode("utf-8", "surrogatepass")
-            for gram, at, lo, hi in anchors(raw):
+            raw, base = text.encode("utf-8", "surrogatepass"), 0
+            for grams, chosen, at, lo, hi in anchors(raw):
                 span = np.frombuffer(b"".join(digest(raw[s : e + LENGTH]) for s, e in zip(lo.tolist(), hi.tolist())), np.int64).reshape(-1, 2)
-                n = len(at)
-                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(np.ascontiguousarray(span[:, 0])), pa.array(np.ascontiguousarray(span[:, 1])), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], schema=schema)
+                rest = np.setdiff1d(chosen, at)
+                n = len(at) + len(rest)
+                gram = np.concatenate((grams[at], grams[rest])).view(np.int64)
+                parts = ((span[:, 0], pa.int64()), (span[:, 1], pa.int64()), (base + at, pa.int32()), (lo, pa.int32()), (hi, pa.int32()))
+                whole = [pa.concat_arrays([pa.array(np.ascontiguousarray(x)).cast(t), pa.nulls(len(rest), t)]) for x, t in parts]
+                yield pa.record_batch([pa.array(gram), *whole[:2], pa.array(np.full(n, doc)), pa.array(np.full(n, h)), *whole[2:]], schema=schema)
+                base += PIECE
 
     return docs.mapInArrow(work, _CHOSEN)
 
@@ -282,10 +302,15 @@ def _counted_groups(members: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc, h, text) -> (doc, h, start, end): byte ranges, with overlaps, of windows that also start elsewhere in any text."""
-    every = _anchor_rows(docs)
-    grams = cut(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # so that a hot gram's side of the join can be split
-    chosen = cut(every.join(grams, "gram"))
+    """docs(doc, h, text) -> (doc, h, start, end): byte ranges, with overlaps, of windows that also start elsewhere in any text; and (doc, h, n_shared).
+
+    n_shared: how many of a text's chosen sequences are chosen in another row too, 0 left out. A string of `PASSAGE`
+    bytes or more that two rows hold makes it 1 at least for both; one of fewer than `GRAM` never does.
+    """
+    grams = cut(_repeated_grams(docs))  # so that a hot gram's side of the join can be split
+    found = cut(_anchor_rows(docs).join(grams, "gram"))
+    shared = found.where("other").select("doc", "h", "gram").distinct().groupBy("doc", "h").agg(F.count("*").alias("n_shared"))
+    chosen = found.where("at is not null").drop("other")
     spans = chosen.groupBy("gram", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "h", "at", "lo", "hi")).alias("one"))
     spans = cut(spans)
     settled = chosen.join(spans.where("copies > 1").select("gram", "s1", "s2"), ["gram", "s1", "s2"], "left_semi").select("doc", "h", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
@@ -293,25 +318,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     members = spans.join(groups, "gram").select("gram", "members", "one.*", (F.col("copies") == 1).alias("open"))
     small = _sorted_groups(_contexts(docs, members.where(F.col("members") <= GROUP)))
     large = cut(members.where(F.col("members") > GROUP))
-    found = settled.unionByName(small)
-    return found.unionByName(_counted_groups(_contexts(docs, large))) if large.limit(1).count() else found
-
-
-def shared_passages(docs: DataFrame) -> DataFrame:
-    """docs(doc, h, text) -> (doc, h, n_shared): how many of a text's chosen `GRAM`-byte sequences are chosen in another row too, 0 left out.
-
-    A string of `PASSAGE` bytes or more that two rows hold makes n_shared 1 at least for both; fewer than `GRAM` never do.
-    """
-    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("h", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, h, text in rows(batches, "doc", "h", "text"):
-            grams = np.unique(passage_grams(text.encode("utf-8", "surrogatepass"))).view(np.int64)
-            yield pa.record_batch([pa.array(grams), pa.array(np.full(len(grams), doc)), pa.array(np.full(len(grams), h))], schema=schema)
-
-    chosen = docs.mapInArrow(work, "gram long, doc long, h long")
-    again = cut(chosen.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # so that a hot sequence's side of the join can be split
-    return chosen.join(again, "gram").distinct().groupBy("doc", "h").agg(F.count("*").alias("n_shared"))
+    every = settled.unionByName(small).unionByName(shared, allowMissingColumns=True)
+    return every.unionByName(_counted_groups(_contexts(docs, large)), allowMissingColumns=True) if large.limit(1).count() else every
 
 
 def without_repeats(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -337,12 +345,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Judged on the input, overlaps count, matches never cross texts. Null texts count as empty; texts shorter than
     `LENGTH` bytes are kept whole; a row repeated in full repeats its text and loses all of it if it is long enough.
     Null ids are returned as null and told apart by their texts; an empty table gives an empty table. Nothing is
-    removed for n_shared, which reports passages shared with other rows that may be too short for that: shared_passages().
+    removed for n_shared, which reports passages shared with other rows that may be too short for that: repeated_spans().
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = base.select("doc", "h", "text")
-    found = repeated_spans(texts).unionByName(shared_passages(texts), allowMissingColumns=True)
-    spans = found.groupBy("doc", "h").agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.max("n_shared").alias("n_shared"))
+    spans = repeated_spans(texts).groupBy("doc", "h").agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.max("n_shared").alias("n_shared"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_shared", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
