@@ -56,8 +56,13 @@ def resampled_metric(reads: DataFrame, metric: Callable[[DataFrame], DataFrame],
 
 
 def chunk(reads: DataFrame, i: int, of: int, key: str = "read_id") -> DataFrame:
-    """The i-th of `of` parts, by the key's hash."""
-    return reads.where(F.pmod(F.xxhash64(key), F.lit(of)) == i)
+    """The i-th of `of` equal, contiguous ranges of the key. Rows without a key are in none."""
+    ends = reads.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if ends["lo"] is None:
+        return reads.limit(0)
+    width = (ends["hi"] - ends["lo"] + of) // of
+    first = ends["lo"] + i * width
+    return reads.where((F.col(key) >= first) & (F.col(key) < first + width))
 
 
 def random_reads(spark: SparkSession, n: int, length: int, seed: int = 0, transition: dict[str, list[float]] | None = None, partitions: int | None = None) -> DataFrame:

@@ -36,9 +36,9 @@ def _(spark, d):
     return reads(spark, d).where(F.instr(sq.padded("seq", 6), "AUUAUU") > 0).select("conc", "read_id")
 
 
-@query("read_chunk", f"WITH {READS} SELECT conc, read_id, seq FROM reads WHERE read_id % 8 = 3")
+@query("read_chunk", f"WITH {READS}, ends AS (SELECT min(read_id) AS lo, max(read_id) AS hi FROM reads) SELECT conc, read_id, seq FROM reads, ends WHERE (read_id - lo) // ((hi - lo + 8) // 8) = 3")
 def _(spark, d):
-    return reads(spark, d).where(F.col("read_id") % 8 == 3)
+    return sm.chunk(reads(spark, d), 3, 8)
 
 
 for K in (4, 6):

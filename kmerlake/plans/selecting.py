@@ -338,7 +338,8 @@ def _(spark, d):
 
 @query("grouped_median", "SELECT c_mktsegment, round(quantile_cont(c_acctbal::DOUBLE, 0.5), 4) AS median FROM customer GROUP BY 1")
 def _(spark, d):
-    return rounded(table(spark, d, "customer").groupBy("c_mktsegment").agg(F.percentile(F.col("c_acctbal").cast("double"), F.lit(0.5)).alias("median")), "median", digits=4)
+    rows = ss.quantiles(table(spark, d, "customer").select("c_mktsegment", F.col("c_acctbal").cast("double").alias("x")), "x", "c_mktsegment")
+    return rounded(rows.select("c_mktsegment", F.col("p50").alias("median")), "median", digits=4)
 
 
 @query("energy_conversion", f"SELECT p_partkey, round(ln(p_size * 10 / 1e9::DOUBLE) * {en.rt(22.0)!r}, 6) AS kcal, round(p_size / (p_size + 25.0::DOUBLE), 6) AS occupancy FROM part")

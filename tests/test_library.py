@@ -187,3 +187,18 @@ def test_bootstrap_weights(spark):
 @pytest.mark.parametrize("seq,want", [("ACGU", "ACGU"), ("AACC", "GGUU"), ("", "")])
 def test_reverse_complement(spark, seq, want):
     assert spark.createDataFrame([(seq,)], "s string").select(sq.reverse_complement("s")).first()[0] == want
+
+
+def test_kmers_of_long_and_awkward_sequences(spark):
+    long = "acgtN" * 20_000
+    got = spark.createDataFrame([("ACGU",), ("AC",), ("",), (None,), ("A\nCG",)], "s string").select(sq.kmers("s", 3).alias("k")).collect()
+    assert [r["k"] for r in got] == [["ACG", "CGU"], [], [], None, ["A\nC", "\nCG"]]
+    got = {r["kmer"]: r["n"] for r in kc.valid_kmer_counts(spark.createDataFrame([(long,)], "seq string"), 3).collect()}
+    assert got == {"ACG": 20_000, "CGU": 20_000}
+
+
+def test_chunks_are_contiguous_and_whole(spark):
+    df = spark.range(103).select((F.col("id") * 7 + 5).alias("read_id"))
+    parts = [[r[0] for r in sm.chunk(df, i, 4).collect()] for i in range(4)]
+    assert sorted(x for p in parts for x in p) == [i * 7 + 5 for i in range(103)] and all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    assert sm.chunk(df.where("read_id < 0"), 0, 4).count() == 0
