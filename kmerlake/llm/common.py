@@ -17,11 +17,13 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a session without executors of its own (tests) may leave it unset and gets a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kmerlake-")
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -488,6 +488,29 @@ def test_suffix_dedup_awkward(spark):
     assert suffixdedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_shared_passages_and_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = some(suffixdedup.PASSAGE)
+    texts = [some(700) + passage + some(90), passage + some(50), some(900), some(300) + passage[: suffixdedup.GRAM - 1] + some(300), passage]
+    df = spark.createDataFrame(rows(*[(i, t, "a") for i, t in enumerate(texts)]), SCHEMA)
+    got = {r["doc_id"]: r for r in suffixdedup.remove_repeats(df).collect()}
+    assert [got[i]["n_shared"] > 0 for i in range(5)] == [True, True, False, False, True] and not any(r["n_removed"] for r in got.values())
+    long = some(1500)
+    many = spark.createDataFrame(rows(*[(None, long, "a")] * 400, (1, some(200) + long[300:1100], "a")), SCHEMA)
+    got = suffixdedup.remove_repeats(many).collect()
+    assert len(got) == 401 and all(r["n_removed"] == 1500 for r in got if r["doc_id"] is None) and [r["n_removed"] for r in got if r["doc_id"] == 1] == [800]
+
+
+@pytest.mark.parametrize("step", [mixing.mixed, simhash.one_of_each, linededup.deduplicated])
+def test_any_column_names_and_types(spark, step):
+    names = ["_hash", "_copies", "_copy", "_taken", "_doc", "_gone", "_h", "_row", "_again", "c0", "c1"]
+    df = awkward(spark).withColumns({n: F.lit(n) for n in names}).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    got = step(df)
+    assert got.columns == df.columns and all(r[n] == n for r in got.collect() for n in names)
+    assert step(empty(spark)).count() == 0 and step(empty(spark)).columns == empty(spark).columns
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(2)
     s = ["".join(rng.choice(list("ab"), int(rng.integers(0, 60)))).encode() for _ in range(200)]
