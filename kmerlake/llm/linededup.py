@@ -1,88 +1,262 @@
-"""Line dedup by exact set-similarity join; later matches are removed. DataFrame functions only."""
+"""Line dedup by exact set-similarity join; later matches are removed. Texts are cut and prefix buckets compared in Arrow batches, the rest is DataFrame functions."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm.common import BROADCAST_BYTES, cut, documents, fresh_path, plain_names
-from kmerlake.llm.setjoin import long_parity, may_match, needed, parity, percent, prefix_size, ranked, rarity, shared, verified
+from kmerlake.llm.common import BROADCAST_BYTES, PIECE, cut, documents, fresh_path, hashed_words, mix64, plain_names, sized
+from kmerlake.llm.setjoin import SLOTS, needed, percent, shared, verified
 
 LEAST = 0.8
-#: Buckets of a prefix token above this many classes are settled around their earliest class before any self-join.
+#: Rows of a prefix token compared all against all; larger buckets are compared tile by tile first.
 HOT = 1024
+#: Rows of whole buckets compared at a time.
+BLOCK = 1 << 17
+#: A slot of prefix tokens with more than this share of all prefix rows is dealt over several tasks; there are at most 1 / SHARE of them.
+SHARE = 1 / 1024
+_TOKEN_SLOTS = 1 << 16
 _FIRST_ID = -(1 << 63)
+_LOW = np.uint64((1 << 56) - 1)
 #: Columns that equal word sets share.
-KIND = ("k", "n", "bits")
-
-
-def _spaced(line: "F.Column") -> "F.Column":
-    return F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-
-
-def _words(spaced: "F.Column") -> "F.Column":
-    return F.array_remove(F.split(spaced, " "), "")
+KIND = ("k", "n", "bits", "more")
+_WORDS = np.ones(256, bool)
+_WORDS[[9, 10, 13, 32]] = False
 
 
 def line_tokens(line: "F.Column") -> "F.Column":
     """Hashes of the distinct words of a line, in lower case; blanks, tabs and carriage returns end words."""
-    return F.array_distinct(F.transform(_words(_spaced(line)), lambda w: F.xxhash64(w)))
+    spaced = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_distinct(F.transform(F.array_remove(F.split(spaced, " "), ""), lambda w: F.xxhash64(w)))
+
+
+def _needed(n: np.ndarray, pct: int) -> np.ndarray:
+    """Least number of a set's tokens that a match shares with it."""
+    return (n * pct + 99) // 100
+
+
+def _shared(n: np.ndarray, m: np.ndarray, pct: int) -> np.ndarray:
+    """Least number of tokens that matching sets of these sizes share."""
+    return ((n + m) * pct + 99 + pct) // (100 + pct)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(ids, texts) of about PIECE bytes; a longer text comes alone."""
+    ids: list[int] = []
+    texts: list[bytes] = []
+    held = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = t.as_py()
+            if texts and held + len(raw) > PIECE:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(raw)
+            held += len(raw)
+    if texts:
+        yield ids, texts
+
+
+def _cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line) of each word, lines numbered through all texts, and the first line of each text."""
+    raw = b"\n".join(texts)
+    hashes, start, _ = hashed_words(raw, _WORDS)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return hashes, np.searchsorted(ends, start), np.searchsorted(ends, begins)
+
+
+def _rarity(base: DataFrame) -> np.ndarray:
+    """SLOTS bytes: how common the tokens of a slot are, five steps to two doublings. Every word of every text counts; the table's size is fixed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for _, texts in _chunks(batches):
+            hashes = _cut_words(texts)[0]
+            n += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(n[at])], names=["slot", "n"])
+
+    table = np.zeros(SLOTS)
+    for slot, n in base.mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n")).toLocalIterator():
+        table[slot] = n
+    return np.floor(np.log2(table + 1) * 2.5).astype(np.uint64)
+
+
+def _by_line(line: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (line, ranked) in order. One sort by as much of both as 64 bits hold; the rare ties in these are sorted by all of it."""
+    bits = np.uint64(max(1, int(line[-1]).bit_length()))
+    key = (line.astype(np.uint64) << (np.uint64(64) - bits)) | (ranked >> bits)
+    order = np.argsort(key)
+    key, r = key[order], ranked[order]
+    if ((key[1:] == key[:-1]) & (r[1:] != r[:-1])).any():
+        order = np.lexsort((ranked, line))
+        r = ranked[order]
+    line = line[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (line[1:] != line[:-1])
+    return line[new], r[new]
 
 
 def _line_table(base: DataFrame, pct: int) -> DataFrame:
     """(doc, no, k, n, bits, more, prefix) of every line that has a word, written in the shared folder.
 
-    k, n and bits tell a word set from all others; prefix is null where only an equal set can match. The tokens
-    themselves are not kept: those of the few lines that get as far as a comparison are cut out of the texts again.
+    k, n, bits and more (128 parity bits) tell a word set from all others; prefix holds the rarest tokens, and is
+    empty where only an equal set can match. The tokens themselves are not kept: those of the few lines that get as
+    far as a comparison are cut out of the texts again.
     """
-    base = base.select("doc", _spaced(F.col("text")).alias("text"))
-    words = base.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).select(F.xxhash64("word").alias("token"))
-    lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("rank", rarity(words))
-    own = F.transform(_words(F.col("line")), lambda w: ranked(F.xxhash64(w), F.col("rank")))
-    own = lines.select("doc", "no", F.sort_array(F.array_distinct(own)).alias("tokens")).withColumn("n", F.size("tokens"))
-    n = F.col("n")
-    short = F.transform(F.slice("tokens", F.lit(1), prefix_size(n, pct)), lambda t: F.hash(t))
-    own = own.select(
-        "doc", "no", F.xxhash64("tokens").alias("k"), "n", parity(F.col("tokens")).alias("bits"), long_parity(F.col("tokens"), n).alias("more"),
-        F.when((needed(n, pct) < n) | (F.floor(n * 100 / pct) > n), short).alias("prefix"),
-    )
+    base = base.where("text is not null").select("doc", F.lower("text").cast("binary").alias("text"))
+    level = _rarity(base)
+    names = ["doc", "no", *KIND, "prefix"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _chunks(batches):
+            hashes, line, first = _cut_words(texts)
+            if not len(hashes):
+                continue
+            line, r = _by_line(line, (level[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(56)) | (hashes & _LOW))
+            start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+            n = np.diff(np.concatenate((start, [len(line)])))
+            line = line[start]
+            text = np.searchsorted(first, line, "right") - 1
+            bit = (r >> np.uint64(16)) & np.uint64(127)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            halves = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == np.uint64(half), one, np.uint64(0)), start) for half in (0, 1)]
+            size = np.where((_needed(n, pct) < n) | (n * 100 // pct > n), n - _needed(n, pct) + 1, 0)
+            offset = np.concatenate(([0], np.cumsum(size)))
+            taken = np.repeat(start - offset[:-1], size) + np.arange(offset[-1])
+            prefix = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(mix64(r[taken]).astype(np.uint32).view(np.int32)))
+            columns = [np.array(ids, np.int64)[text], (line - first[text]).astype(np.int32), np.add.reduceat(mix64(r), start).view(np.int64), n.astype(np.int32), *[x.view(np.int64) for x in halves]]
+            yield pa.record_batch([*map(pa.array, columns), prefix], names=names)
+
     path = fresh_path(base.sparkSession, "lines")
-    own.write.parquet(path)
-    return base.sparkSession.read.parquet(path).where("n > 0")
+    base.mapInArrow(work, "doc long, no int, k long, n int, bits long, more long, prefix array<int>").write.parquet(path)
+    return base.sparkSession.read.parquet(path)
 
 
-def _later(x: str, y: str) -> "F.Column":
-    return (F.col(f"{x}.doc") > F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.no") > F.col(f"{y}.no")))
+def _classes(lines: DataFrame) -> DataFrame:
+    """(k, n, bits, more, doc, no, prefix, lines) of each word set: its first line and how many it has, written in the shared folder."""
+    path = fresh_path(lines.sparkSession, "line-classes")
+    found = lines.groupBy(*KIND).agg(F.min(F.struct("doc", "no", "prefix")).alias("f"), F.count("*").alias("lines"))
+    found.select(*KIND, "f.*", "lines").write.parquet(path)
+    return lines.sparkSession.read.parquet(path)
 
 
-def _bucket_rows(lines: DataFrame) -> DataFrame:
-    """Prefix rows (token, doc, no, n, i, bits, more, sets) of the first line of each class that an unequal class can match; sets: rows of the token."""
-    firsts = lines.where("prefix is not null").groupBy(*KIND).agg(F.min(F.struct("doc", "no", "more", "prefix")).alias("f"))
-    rows = firsts.select("f.doc", "f.no", "n", "bits", "f.more", F.posexplode("f.prefix").alias("i", "token"))
-    # Without nulls no reader of the shuffle gets a filter of its own, so all of them share one.
-    return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns]).withColumn("sets", F.count("*").over(Window.partitionBy("token")))
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    return classes.where("size(prefix) > 0").select("doc", "no", "n", "bits", "more", F.posexplode("prefix").alias("i", "token"))
 
 
-def _candidates(lines: DataFrame, pct: int) -> DataFrame:
-    """Pairs (adoc, ano, bdoc, bno) of a class and an earlier one that may match, and the rows (token, adoc, ano, n, i, bits, more) of hot tokens.
+def _best(cols: list[np.ndarray], start: np.ndarray, split: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, others): for each row the earlier line likeliest to match it among those that may, -1 if none.
 
-    The shorter set of a match holds the first token they share in the part of its prefix that any longer set needs,
-    so one side of the join has those rows only.
+    Rows (doc, no, n, bits, more, i) are in tiles that begin at start, by n in each; every two of a tile pass the
+    length, position and parity filters or cannot match. others: more than one may, or the tile is a part of a bucket.
     """
-    dealt = _bucket_rows(lines)
-    x = dealt.alias("x")
-    y = dealt.where((F.col("sets") <= HOT) & (F.col("i") <= F.col("n") - shared(F.col("n"), F.col("n"), pct))).alias("y")
-    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & _later("x", "y"))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & longer & may_match(pct, "x", "y"), "left")
-    many = F.col("x.sets") > HOT
-    first = _later("y", "x")
-    return both.where(F.col("y.doc").isNotNull() | many).select(
-        *[F.when(~many & first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"a{c}") for c in ("doc", "no")],
-        *[F.when(~many, F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))).alias(f"b{c}") for c in ("doc", "no")],
-        *[F.when(many, F.col(f"x.{c}")).alias(c) for c in ("token", "n", "i", "bits", "more")],
-    ).distinct()
+    doc, no, n, bits, more, i = cols
+    rows = len(n)
+    at = np.arange(rows)
+    tile = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [rows]))))
+    place = (tile << 32) | n
+    window = at - np.searchsorted(place, (tile << 32) | _needed(n, pct))
+    short = i <= n - _shared(n, n, pct)
+    by = np.argsort(-window, kind="stable")
+    active = np.searchsorted(-window[by], -np.arange(1, int(window.max(initial=0)) + 1), "right")
+    rank = np.empty(rows, np.int64)
+    rank[np.lexsort((no, doc))] = at
+    best = np.full(rows, np.iinfo(np.int64).max)
+    many = np.zeros(rows, np.int64)
+    for d, upto in enumerate(active, 1):
+        x = by[:upto]
+        y = x - d
+        keep = short[y]
+        x, y = x[keep], y[keep]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(more[x] ^ more[y])
+        both = _shared(n[x], n[y], pct)
+        keep = differ <= n[x] + n[y] - 2 * both
+        x, y, both, differ = x[keep], y[keep], both[keep], differ[keep]
+        keep = np.minimum(n[x] - i[x], n[y] - i[y]) >= both
+        x, y, differ = x[keep], y[keep], differ[keep]
+        later = rank[x] > rank[y]
+        a, b = np.where(later, x, y), np.where(later, y, x)
+        np.minimum.at(best, a, (differ << 40) | rank[b])
+        np.add.at(many, a, 1)
+    of_rank = np.empty(rows, np.int64)
+    of_rank[rank] = at
+    found = many > 0
+    partner = np.where(found, of_rank[np.where(found, best & ((1 << 40) - 1), 0)], -1)
+    others = (many > 1) | split
+    row = np.flatnonzero(found | others)
+    return row, partner[row], others[row]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, starts of tiles, which rows are of a bucket in parts) of rows sorted by (token, part, n); a tile has at most most rows."""
+    held: list[np.ndarray] | None = None
+    begun: list[tuple] = [()]  # the bucket of which tiles have gone
+
+    def tiles(cols: list[np.ndarray], end: bool) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+        token, part = cols[0], cols[1]
+        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
+        size = np.diff(np.concatenate((start, [len(token)])))
+        if not end:  # the last bucket goes on, but whole tiles of it can go
+            stay = size[-1] % most if size[-1] > 2 * most else size[-1]
+            size = np.append(size[:-1], size[-1] - stay)
+            start, size = start[size > 0], size[size > 0]
+        upto = int(size.sum())
+        going = [(int(token[s]), int(part[s])) == begun[0] for s in start[:1]] + [False] * (len(start) - 1)
+        split = np.repeat((size > most) | (part[start] >= 0) | np.array(going, bool), size)
+        begun[0] = (int(token[start[-1]]), int(part[start[-1]])) if len(start) else ()
+        within = np.arange(upto) - np.repeat(start, size)
+        return upto, [c[:upto] for c in cols[2:]], np.flatnonzero(within % most == 0), split
+
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols[5:7] = [c.view(np.uint64) for c in cols[5:7]]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        if len(held[0]) >= block:
+            upto, *found = tiles(held, False)
+            if upto:
+                yield tuple(found)
+                held = [c[upto:] for c in held]
+    if held is not None and len(held[0]):
+        yield tuple(tiles(held, True)[1:])
+
+
+def _candidates(classes: DataFrame, pct: int) -> DataFrame:
+    """(a, b, others) for each line of a class that earlier ones may match: the likeliest of its bucket, and whether there may be others."""
+    rows = _prefix_rows(classes)
+    slot = F.pmod(F.col("token"), F.lit(_TOKEN_SLOTS))
+    counts = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("rows"))
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    limit = max(HOT, total * SHARE)
+    hot = counts.where(F.col("rows") > limit).select("slot", F.ceil(F.col("rows") / limit).alias("parts"))
+    dealt = rows.join(F.broadcast(hot), slot == F.col("slot"), "left")  # at most 1 / SHARE rows
+    part = F.coalesce(F.pmod(F.xxhash64("doc", "no"), F.col("parts")), F.lit(-1)).cast("int")
+    dealt = dealt.select("token", part.alias("part"), "doc", "no", "n", "bits", "more", "i")
+    dealt = dealt.repartition("token", "part").sortWithinPartitions("token", "part", "n")
+    names = ["adoc", "ano", "bdoc", "bno", "others"]
+    most, block = HOT, BLOCK
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, start, split in _blocks(batches, most, block):
+            doc, no, *rest = cols
+            row, partner, others = _best([doc, no, rest[0].astype(np.int64), *rest[1:3], rest[3].astype(np.int64)], start, split, pct)
+            none = partner < 0
+            yield pa.record_batch([pa.array(doc[row]), pa.array(no[row]), pa.array(doc[partner], mask=none), pa.array(no[partner], mask=none), pa.array(others)], names=names)
+
+    found = dealt.mapInArrow(work, "adoc long, ano int, bdoc long, bno int, others boolean")
+    a, b = F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no")), F.struct(F.col("bdoc").alias("doc"), F.col("bno").alias("no"))
+    return cut(found.select(a.alias("a"), F.when(F.col("bdoc").isNotNull(), b).alias("b"), "others").distinct())
+
+
+def _later(x: str, y: str) -> "F.Column":
+    return (F.col(f"{x}.doc") > F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.no") > F.col(f"{y}.no")))
 
 
 def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,46 +270,56 @@ def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc", "no").alias("id"), line_tokens(F.col("line")).alias("tokens")).dropDuplicates(["id"])
 
 
+def _may_match(pct: int) -> "F.Column":
+    """Length, position and parity filters of prefix rows aliased x and y. Never false for a match."""
+    nx, ny, ix, iy = (F.col(f"{a}.{c}") for c in ("n", "i") for a in ("x", "y"))
+    both = shared(nx, ny, pct)
+    differ = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("bits", "more"))
+    return (F.least(nx, ny) >= needed(F.greatest(nx, ny), pct)) & (F.least(nx - ix, ny - iy) >= both) & (differ <= nx + ny - 2 * both)
+
+
+def _rest(classes: DataFrame, left: DataFrame, pct: int) -> DataFrame:
+    """(a, b): every earlier line b that may match a line a of left."""
+    rows = _prefix_rows(classes).withColumn("level", F.floor(F.log("n") / math.log(100 / pct)).cast("int"))
+    own = left.select(F.col("a.doc").alias("_doc"), F.col("a.no").alias("_no"))
+    x = rows.join(own, (F.col("doc") == F.col("_doc")) & (F.col("no") == F.col("_no"))).drop("_doc", "_no")
+    x = cut(x.withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))))
+    x, y = sized(x, 64).alias("x"), rows.alias("y")
+    pairs = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level")) & _later("x", "y") & _may_match(pct))
+    return cut(pairs.select(F.struct("x.doc", "x.no").alias("a"), F.struct("y.doc", "y.no").alias("b")).distinct())
+
+
 def _matched(base: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
-    """(a) that match a b of theirs. Each is held against its earliest b first; only where that fails are its others looked at."""
-    tokens = cut(_tokens_of(base, pairs))
-    firsts = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    found = cut(verified(firsts, tokens, pct).select("a"))
-    others = pairs.join(found, "a", "left_anti").join(firsts, ["a", "b"], "left_anti")
-    return cut(found.unionByName(verified(others, tokens, pct).select("a").distinct()))
+    """(a) that match a b of theirs."""
+    return cut(verified(pairs, cut(_tokens_of(base, pairs)), pct).select("a").distinct())
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, no) of every line, numbered from 0, that repeats an earlier one: the Jaccard index of their word sets is at least `least`.
 
     Earlier is by document id, then line number, judged on the input; a null id counts as the least id and is
-    returned as such. Lines without words are never removed; null texts have no lines. Rows that share an id are
-    taken as one document. Lines of equal word sets are one class, represented by its first line. A class is compared
-    with the earlier ones that share a prefix token; in buckets of many classes it is first compared with the
-    earliest one, which settles a group of near copies without its pairs, and only those left meet the whole bucket.
+    returned as such. Lines without words are never removed; null texts have no lines, and an empty table gives none.
+    Rows that share an id are taken as one document. A very long text is cut as a whole in one task.
+    Lines of equal word sets are one class, represented by its first line. In each bucket of a prefix token a class is
+    held against the likeliest of the earlier ones that pass the filters, which settles groups of near copies without
+    their pairs; only classes left over that have other candidates meet all of these.
     """
     pct = percent(least)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     lines = _line_table(base, pct)
-    found = cut(_candidates(lines, pct))
-    pairs = found.where("token is null").select(F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no")).alias("a"), F.struct(F.col("bdoc").alias("doc"), F.col("bno").alias("no")).alias("b"))
-    hot = found.where("token is not null").select("token", F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no"), "n", "i", "bits", "more").alias("x"))
-    hot = hot.join(hot.groupBy("token").agg(F.min("x").alias("y")), "token")
-    around = hot.where(_later("x", "y") & may_match(pct, "x", "y")).select(F.struct("x.doc", "x.no").alias("a"), F.struct("y.doc", "y.no").alias("b"))
-    settled = _matched(base, pairs.unionByName(around.distinct()), pct)
-
-    base_log = math.log(100 / pct)
-    hot = hot.select("token", F.struct("x.doc", "x.no").alias("a"), "x.*").withColumn("level", F.floor(F.log("n") / base_log).cast("int"))
-    left = hot.join(settled, "a", "left_anti").withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
-    rest = left.alias("x").join(hot.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level")) & _later("x", "y") & may_match(pct, "x", "y"))
-    rest = cut(rest.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
-    lost = settled.unionByName(_matched(base, rest, pct)) if rest.limit(1).count() else settled
-    lost = lost.distinct().select(F.col("a").alias("lost"))
-    every = lines.select(*KIND, F.struct("doc", "no").alias("id"))
-    classes = every.groupBy(*KIND).agg(F.min("id").alias("first"), F.count("*").alias("lines")).join(lost, F.col("first") == F.col("lost"), "left")
-    classes = classes.where("lines > 1 or lost is not null")
-    gone = every.join(classes, list(KIND)).where((F.col("id") != F.col("first")) | F.col("lost").isNotNull())
-    return gone.select(F.col("id.doc").alias("doc_id"), F.col("id.no").alias("no")).distinct()
+    classes = _classes(lines)
+    found = _candidates(classes, pct)
+    pairs = found.where("b is not null").select("a", "b")
+    lost = _matched(base, pairs, pct)
+    left = cut(found.where("others").select("a").distinct().join(lost, "a", "left_anti"))
+    if left.limit(1).count():
+        others = cut(_rest(classes, left, pct).join(pairs, ["a", "b"], "left_anti"))
+        lost = lost.unionByName(_matched(base, others, pct))
+    lost = lost.select("a.doc", "a.no", F.lit(True).alias("lost"))
+    gone = classes.select(*KIND, "doc", "no", "lines").join(lost, ["doc", "no"], "left").where("lines > 1 or lost")
+    firsts = gone.select(*KIND, F.struct("doc", "no").alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    every = lines.select(*KIND, "doc", "no").join(firsts, list(KIND))
+    return every.where(F.col("lost") | (F.struct("doc", "no") != F.col("first"))).select(F.col("doc").alias("doc_id"), "no").distinct()
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

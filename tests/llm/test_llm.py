@@ -405,9 +405,10 @@ def brute_lines(docs, least=80):
     return gone
 
 
-@pytest.mark.parametrize("hot", [1024, 2])
-def test_lines_by_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,block", [(1024, 1 << 17), (2, 1 << 17), (2, 4), (5, 1)])
+def test_lines_by_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "BLOCK", block)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(60)]
     docs = []
