@@ -165,7 +165,7 @@ class ShardWriter:
         mph = PerfectHash.build(keys)
         seat = mph.seats(keys)
         arrays = {"key": ids, "nth": nth, "null": null.astype(np.uint8), "bits": mph.bits, "rank": mph.rank}
-        for name, value in (("seat_offset", np.cumsum(count) - count), ("seat_count", count.astype(np.uint32)), ("seat_print", _print(keys))):
+        for name, value in (("seat_offset", np.cumsum(count) - count), ("seat_count", count.astype(np.uint32)), ("seat_print", _print(keys)), ("seat_row", at.astype(np.uint32))):
             arrays[name] = np.empty_like(value)
             arrays[name][seat] = value
         places, place = {}, self.n * self.kind.itemsize
@@ -192,11 +192,15 @@ class Shard:
         self.arrays, self.mph = a, PerfectHash(self.about["sizes"], a["bits"], a["rank"])
 
     def find(self, doc_id: np.ndarray, null: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offset, count) of each key in ids; offset -1 where the stored fingerprint shows that the shard lacks it."""
+        """(offset, count) of each key in ids; offset -1 where the shard lacks it: the stored fingerprint differs, or, where that agrees by chance, the key of the seat's row."""
+        a = self.arrays
+        if not self.about["docs"]:
+            return np.full(len(doc_id), -1, np.int64), np.zeros(len(doc_id), np.uint32)
         keys = _key(doc_id, null, nth)
         seat = self.mph.seats(keys)
-        ok = (seat >= 0) & (self.arrays["seat_print"][seat] == _print(keys)) if self.about["docs"] else seat >= 0
-        return np.where(ok, self.arrays["seat_offset"][seat] if len(seat) and self.about["docs"] else -1, -1), np.where(ok, self.arrays["seat_count"][seat] if len(seat) and self.about["docs"] else 0, 0)
+        row = a["seat_row"][seat]
+        ok = (seat >= 0) & (a["seat_print"][seat] == _print(keys)) & (a["key"][row] == doc_id) & (a["null"][row] == null) & (a["nth"][row] == nth)
+        return np.where(ok, a["seat_offset"][seat], -1), np.where(ok, a["seat_count"][seat], 0)
 
     def ids(self, offset: int, count: int) -> np.ndarray:
         w = self.kind.itemsize
@@ -213,14 +217,15 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write every row's ids, end_id appended, as shards under path, in ascending order of the id (null first; rows of one id by their text's hash).
 
-    Returns the manifest (shard, file, docs, ids, start): start counts the ids of all shards before. Null texts count
+    Returns the manifest (shard, file, docs, ids, last, start): last is the greatest id of a shard, null without any;
+    start counts the ids of all shards before. An empty table gives shards without documents. Null texts count
     as empty. Each shard is written to a name of its own attempt, then renamed, so a repeated task leaves one whole file.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // shard_rows))
     dealt = base.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("last", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -244,9 +249,10 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
             fs.move(draft, f"{root}/{name}")
         else:
             fs.delete_file(draft)
-        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((shard, f"{path}/{name}", len(writer.id), writer.n), schema)], schema=schema)
+        last = writer.id[-1] if writer.id and not writer.null[-1] else None
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((shard, f"{path}/{name}", len(writer.id), writer.n, last), schema)], schema=schema)
 
-    written = cut(dealt.mapInArrow(work, "shard int, file string, docs long, ids long"))
+    written = cut(dealt.mapInArrow(work, "shard int, file string, docs long, ids long, last long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return written.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))
 
@@ -276,27 +282,30 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of each key's first document, by one index probe in each shard's file; keys that no shard holds are left out."""
-    shards = manifest.select("file", "shard")
+    """(doc_id, ids) of each key's first document, by one index probe in the one shard whose range has the key; keys that no shard holds are left out, null keys too.
+
+    Keys are dealt by range, so a task opens only the shards of its range.
+    """
+    shards = manifest.where("last is not null").select("last", "file").orderBy("shard").collect()  # one row for each shard
+    lasts, files = np.array([r["last"] for r in shards], np.int64), [r["file"] for r in shards]
     wanted = keys.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    files = [r["file"] for r in shards.orderBy("shard").collect()]  # one name for each shard
+    wanted = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
-
         def found():
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                zero = np.zeros(len(ids), np.uint8)
-                left = np.ones(len(ids), bool)
-                for uri in files:
-                    fs, place = _open(uri)
-                    with fs.open_input_file(place) as source:
+                place = np.searchsorted(lasts, ids)  # an id over two shards begins in the former
+                for at in np.unique(place[place < len(files)]):
+                    here = ids[place == at]
+                    zero = np.zeros(len(here), np.uint8)
+                    fs, name = _open(files[at])
+                    with fs.open_input_file(name) as source:
                         shard = Shard(source)
-                        offset, count = shard.find(ids, zero, zero)
-                        for k in np.flatnonzero((offset >= 0) & left):
-                            left[k] = False
-                            yield int(ids[k]), shard.ids(int(offset[k]), int(count[k])).tolist()
+                        offset, count = shard.find(here, zero, zero)
+                        for k in np.flatnonzero(offset >= 0):
+                            yield int(here[k]), shard.ids(int(offset[k]), int(count[k])).tolist()
 
         yield from emit(schema, found(), 500)
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -388,6 +389,33 @@ def test_token_round_trip(spark):
     assert tokenfiles.encode_documents(empty(spark)).count() == 0
 
 
+def test_lookup_over_many_shards(spark):
+    docs = spark.range(400).selectExpr("id * 3 as doc_id", "concat('text ', id) as text").union(spark.sql("select cast(null as long), 'none'"))
+    manifest = tokenfiles.write_shards(docs, tokenfiles.word_bpe_file(), common.fresh_path(spark, "t"), shard_rows=20).cache()
+    files = [r["file"] for r in manifest.where("docs > 0").collect()]
+    assert len(files) > 10
+    every = dict(tokenfiles.lookup(manifest, spark.range(-5, 1300).toDF("doc_id")).collect())
+    assert sorted(every) == [i * 3 for i in range(400)]
+    t = __import__("tokenizers").Tokenizer.from_file(tokenfiles.word_bpe_file())
+    assert all(ids == [*t.encode(f"text {i // 3}", add_special_tokens=False).ids, 2] for i, ids in every.items())
+
+
+def test_chance_fingerprint_gives_no_other_document(monkeypatch):
+    import io
+
+    monkeypatch.setattr(tokenfiles, "_print", lambda keys: np.zeros(len(keys), np.uint32))
+    sink = io.BytesIO()
+    writer = tokenfiles.ShardWriter(sink, np.dtype("<u2"))
+    for i in range(500):
+        writer.add(i, np.array([i, 2], "<u2").tobytes())
+    writer.close()
+    shard = tokenfiles.Shard(pa.BufferReader(sink.getvalue()))
+    find = lambda keys: shard.find(keys, np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint32))
+    assert find(np.arange(500))[0].tolist() == list(range(0, 1000, 2))
+    assert (shard.mph.seats(tokenfiles._key(np.arange(10_000, 11_000), np.zeros(1000, np.uint8), np.zeros(1000, np.uint8))) >= 0).any()
+    assert (find(np.arange(10_000, 11_000))[0] == -1).all()
+
+
 # 9 line dedup
 
 
