@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
 from kmerlake.operators import counts as kc
+from kmerlake.operators.model import ska_weights
+from kmerlake.operators.overlap import o_values
+from kmerlake.operators.resampling import r_values_with_error
 from kmerlake.operators.tokens import dense, kmer_domain
 
 
@@ -147,15 +150,50 @@ METRICS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "R_value": r_values,
     "F_ratio": f_ratios,
     "DI": differential_information,
+    "W_value": w_values,
+    "O_value": lambda reads, k: o_values(reads, k).select("conc", "kmer", "o"),
+    "pure_F_ratio": lambda reads, k: pure_f_ratios(reads, _ranking(reads, k)),
+    "recall_ratio": lambda reads, k: recall_ratios(reads, _ranking(reads, k)),
+    "SKA_weight": lambda reads, k: _for_each_sample(reads, lambda own: ska_weights(own, k)),
 }
 
+#: Metrics that come with an error: (conc, kmer, value, err).
+WITH_ERROR: dict[str, Callable[[DataFrame, int], DataFrame]] = {"R_value": r_values_with_error, "O_value": o_values}
+#: K-mers that a metric over ranked candidates takes.
+CANDIDATES = 100
+
+
+def _ranking(reads: DataFrame, k: int) -> list[str]:
+    """The k-mers of greatest mean enrichment, best first, at most CANDIDATES."""
+    return [x["kmer"] for x in r_values(reads, k).groupBy("kmer").agg(F.avg("r").alias("r")).orderBy(F.desc("r"), "kmer").limit(CANDIDATES).collect()]
+
+
+def _for_each_sample(reads: DataFrame, metric: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A metric of one pull-down sample against the input, for each sample."""
+    out = None
+    for row in reads.where("conc <> 0").select("conc").distinct().orderBy("conc").collect():
+        part = metric(reads.where(F.col("conc").isin(0.0, row["conc"])))
+        part = part.select(F.lit(row["conc"]).alias("conc"), *part.columns)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("there is no pull-down sample")
+    return out
+
 
 def metric(name: str, reads: DataFrame, k: int) -> DataFrame:
-    """(conc, kmer, metric, value) of a registered metric."""
+    """(conc, kmer, metric, value) of a registered metric. W_value takes reads with an accessibility array `acc`."""
     found = METRICS[name](reads, k)
     return found.select("conc", "kmer", F.lit(name).alias("metric"), F.col(found.columns[-1]).alias("value"))
 
 
+def metric_with_error(name: str, reads: DataFrame, k: int) -> DataFrame:
+    """(conc, kmer, metric, value, err); err is null for a metric without one."""
+    if name not in WITH_ERROR:
+        return metric(name, reads, k).withColumn("err", F.lit(None).cast("double"))
+    found = WITH_ERROR[name](reads, k)
+    return found.select("conc", "kmer", F.lit(name).alias("metric"), F.col(found.columns[-2]).alias("value"), "err")
+
+
 def gather(reads: DataFrame, names: list[str], k: int) -> DataFrame:
     out = metric(names[0], reads, k)
     for name in names[1:]:

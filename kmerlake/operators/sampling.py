@@ -17,24 +17,38 @@ def lcg_uniform(x: str | Column, salt: int = 12345) -> Column:
     return F.pmod(sq.col(x) * 1103515245 + salt, F.lit(2147483648)) / 2147483648.0
 
 
+def replicate_uniform(x: str | Column, i: int) -> Column:
+    """A uniform in [0, 1) of an integer key for the i-th replicate, the same in any SQL engine: the middle of the square of a congruential step, so that replicates are not shifts of each other."""
+    v = F.pmod(F.pmod(sq.col(x), F.lit(2147483648)) * 1103515245 + (12345 + 610839777 * i) % 2147483648, F.lit(2147483648))
+    return sq.bound(v, lambda y: F.pmod(F.shiftright(y * y, 16), F.lit(2147483648)) / 2147483648.0)
+
+
 def hash_uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (F.pmod(F.xxhash64(*[sq.col(c) for c in cols], F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) multiplicity of a uniform: how often a bootstrap with replacement takes the row."""
+def poisson_steps(most: int = 8) -> list[tuple[int, float]]:
+    """(n, limit): a uniform below the limit, and not below the one before, gives a Poisson(1) variate n; those above all give `most`."""
     p = total = math.exp(-1)
-    out = F.when(u < total, 0)
+    out = [(0, total)]
     for n in range(1, most):
         p /= n
         total += p
-        out = out.when(u < total, n)
+        out.append((n, total))
+    return out
+
+
+def poisson_weight(u: Column, most: int = 8) -> Column:
+    """Poisson(1) multiplicity of a uniform: how often a bootstrap with replacement takes the row."""
+    out = None
+    for n, limit in poisson_steps(most):
+        out = F.when(u < limit, n) if out is None else out.when(u < limit, n)
     return out.otherwise(most).cast("int")
 
 
 def bootstrap(reads: DataFrame, replicates: int, key: str = "read_id") -> DataFrame:
     """Reads with their replicate and multiplicity; those not taken are left out. One row in 1.6 for each replicate, made within the row."""
-    weights = F.array(*[F.struct(F.lit(i).alias("replicate"), poisson_weight(lcg_uniform(key, 12345 + 7919 * i)).alias("copies")) for i in range(replicates)])
+    weights = F.array(*[F.struct(F.lit(i).alias("replicate"), poisson_weight(replicate_uniform(key, i)).alias("copies")) for i in range(replicates)])
     rows = reads.withColumn("_b", F.explode(F.filter(weights, lambda w: w["copies"] > 0)))
     return rows.withColumn("replicate", F.col("_b.replicate")).withColumn("copies", F.col("_b.copies")).drop("_b")
 
@@ -48,7 +62,7 @@ def resampled_metric(reads: DataFrame, metric: Callable[[DataFrame], DataFrame],
     """A metric with its error over bootstrap replicates of the pull-down samples; the input is taken as it is. One pass for each replicate."""
     out = None
     for i in range(replicates):
-        copies = F.when(F.col("conc") == 0, 1).otherwise(poisson_weight(lcg_uniform("read_id", 12345 + 7919 * i)))
+        copies = F.when(F.col("conc") == 0, 1).otherwise(poisson_weight(replicate_uniform("read_id", i)))
         drawn = reads.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).drop("_c")
         part = metric(drawn)
         out = part if out is None else out.unionByName(part)

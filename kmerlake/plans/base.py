@@ -86,6 +86,12 @@ ACC = f"exp(-{ENERGY} / {rt(4.0)!r})"
 U = "(((read_id * 1103515245 + 12345) % 2147483648) / 2147483648::DOUBLE)"
 
 
+def replicate_u(i: int | str) -> str:
+    """The uniform of a read in a replicate, as replicate_uniform()."""
+    v = f"((read_id % 2147483648 * 1103515245 + (12345 + 610839777 * {i}) % 2147483648) % 2147483648)"
+    return f"((({v} * {v}) // 65536 % 2147483648) / 2147483648::DOUBLE)"
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Rounded, and zero without a sign."""
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})

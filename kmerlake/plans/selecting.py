@@ -13,7 +13,7 @@ from kmerlake.operators import ranking as rk
 from kmerlake.operators import sampling as sm
 from kmerlake.operators import seeding as sd
 from kmerlake.operators import statistics as ss
-from kmerlake.plans.base import ACC, READS, U, folded, freq, full, km, query, r_of, reads, rounded, table
+from kmerlake.plans.base import ACC, READS, U, folded, freq, full, km, query, r_of, reads, replicate_u, rounded, table
 from kmerlake.plans.counting import COOC, CORES, EXPECTED, FLANK, JOINT, NEAR, QUOTED, WANTED
 from kmerlake.sources import tables as tb
 
@@ -256,18 +256,12 @@ def _(spark, d):
     return pk.greedy_peaks(folded(spark, d, 3).select("read_id", F.col("acc").alias("y")), "read_id", "y", pad=4, least=0.3)
 
 
-@query("bootstrap_counts", f"WITH {READS}, u AS (SELECT *, {U} AS u FROM reads), c AS (SELECT conc, CASE WHEN u < exp(-1.0::DOUBLE) THEN 0 WHEN u < exp(-1.0::DOUBLE) * 2 THEN 1 WHEN u < exp(-1.0::DOUBLE) * 2.5 THEN 2 WHEN u < exp(-1.0::DOUBLE) * (2.5 + 1 / 6.0::DOUBLE) THEN 3 ELSE 4 END AS n FROM u) SELECT conc, count(*) FILTER (WHERE n > 0) AS reads, sum(n)::BIGINT AS least_copies FROM c GROUP BY conc")
+@query("bootstrap_counts", f"WITH {READS}, u AS (SELECT *, {replicate_u(0)} AS u FROM reads), c AS (SELECT conc, CASE WHEN u < exp(-1.0::DOUBLE) THEN 0 WHEN u < exp(-1.0::DOUBLE) * 2 THEN 1 WHEN u < exp(-1.0::DOUBLE) * 2.5 THEN 2 WHEN u < exp(-1.0::DOUBLE) * (2.5 + 1 / 6.0::DOUBLE) THEN 3 ELSE 4 END AS n FROM u) SELECT conc, count(*) FILTER (WHERE n > 0) AS reads, sum(n)::BIGINT AS least_copies FROM c GROUP BY conc")
 def _(spark, d):
     rows = sm.bootstrap(reads(spark, d), 1)
     return rows.groupBy("conc").agg(F.count("*").alias("reads"), F.sum(F.least("copies", F.lit(4))).alias("least_copies"))
 
 
-@query("r_value_error")
-def _(spark, d):
-    """Enrichment with its error over three bootstrap replicates."""
-    return sm.resampled_metric(reads(spark, d), lambda x: mt.r_values(x, 3), "r", 3, "conc", "kmer")
-
-
 PSI = "(length(seq) - length(replace(seq, 'U', ''))) / 40.0::DOUBLE"
 
 
