@@ -9,6 +9,7 @@ import pytest
 import kmerlake.plans.comparing
 import kmerlake.plans.counting
 import kmerlake.plans.inference
+import kmerlake.plans.storing
 import kmerlake.plans.modelling
 import kmerlake.plans.selecting  # noqa: F401
 from kmerlake.plans.base import ORACLE_SQL, QUERIES
