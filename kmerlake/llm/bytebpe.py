@@ -24,7 +24,7 @@ from kmerlake.llm.common import documents, plain_names
 #: Bytes of a text that are cut into pre-tokens at a time.
 PIECE_CHARS = 1 << 20
 #: Distinct pre-tokens whose ids a Python worker remembers, of at most so many characters each; beyond it the later half goes.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
 
 def byte_letters() -> str:
@@ -117,7 +117,7 @@ def _plane_pattern(pattern: str) -> re.Pattern | None:
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary. Ids of each distinct short pre-token are made once and remembered."""
+    """Encoder of one vocabulary. Ids of each distinct short pre-token are made once and remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         from sentencepiece import SentencePieceProcessor
@@ -125,7 +125,6 @@ class ByteBPE:
         self.processor = SentencePieceProcessor(model_proto=bpe_model(ranks))
         self.pattern, self.plane = regex.compile(pattern), _plane_pattern(pattern)
         self.whole = {p.decode("latin-1").translate(TO_LETTERS): np.array([r], "<i4").tobytes() for p, r in ranks.items()}
-        self.bytes = [bytes(map(FROM_LETTERS.__getitem__, map(ord, self.processor.id_to_piece(r)))) for r in range(len(ranks))]
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, words: list[str]) -> list[bytes]:
@@ -177,6 +176,14 @@ class ByteBPE:
         get = (lambda w: known[w] if w in known else once[w]) if once else known.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
+
+class ByteDecoder:
+    """The bytes of each id of a model: its piece's characters mapped back."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = {r: p.decode("latin-1").translate(TO_LETTERS) for p, r in ranks.items()}
+        self.bytes = [bytes(map(FROM_LETTERS.__getitem__, map(ord, pieces[r]))) for r in range(len(pieces))]
+
     def decode(self, ids: np.ndarray) -> bytes | None:
         """The bytes of ids; None if an id has no piece."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.bytes)):
@@ -184,27 +191,28 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
+_LOADED: dict[tuple, ByteBPE | ByteDecoder] = {}
 
 
-def _codec(path: str, pattern: str) -> ByteBPE:
-    """The codec of a worker, made once for all its tasks."""
-    if (path, pattern) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+def _loaded(kind: type, path: str, *rest: str) -> ByteBPE | ByteDecoder:
+    """The encoder or decoder of a worker, made once for all its tasks."""
+    if (kind, path, *rest) not in _LOADED:
+        if len(_LOADED) >= 2:
+            _LOADED.clear()
+        _LOADED[kind, path, *rest] = kind(read_ranks(path), *rest)
+    return _LOADED[kind, path, *rest]
 
 
 def _defaults(vocab_file: str | None, pattern: str | None) -> tuple[str, str]:
     if vocab_file is None or pattern is None:
         import public_tokenizers
 
-        vocab_file, pattern = vocab_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+        return vocab_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     return vocab_file, pattern
 
 
 #: Characters of text, or ids, after which a task hands on what it has.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def _list_column(parts: list[bytes]) -> pa.Array:
@@ -214,9 +222,11 @@ def _list_column(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
-def encoded(docs: DataFrame, vocab_file: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, vocab_file: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """docs with a column ids_col: the byte-level BPE ids of each whole text, no special tokens; a column of that name is replaced.
 
+    With bytes_col, the bytes that the ids decode to are added too, in the same pass; decoded() makes them of stored ids.
+
     Texts are read as strings of code points and split by `pattern`; each match is encoded on its own, and text that no
     match covers has no ids. Null and empty texts have an empty list. Repeated rows are repeated; other columns, with
     any names, stay. One very long text is cut into pre-tokens a piece at a time; one very long pre-token is merged in
@@ -224,23 +234,29 @@ def encoded(docs: DataFrame, vocab_file: str | None = None, pattern: str | None
     """
     vocab_file, pattern = _defaults(vocab_file, pattern)
     inner, named = plain_names(docs)
-    kept = [c for old, c in zip(docs.columns, inner.columns) if old.lower() != ids_col.lower()]
+    lost = {c.lower() for c in (ids_col, bytes_col) if c}
+    kept = [c for old, c in zip(docs.columns, inner.columns) if old.lower() not in lost]
+    names = [*kept, "ids", *(["b"] if bytes_col else [])]
     table = inner.select(*kept, F.col(named[text_col]).cast("string").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocab_file, pattern)
+        codec = _loaded(ByteBPE, vocab_file, pattern)
+        back = _loaded(ByteDecoder, vocab_file) if bytes_col else None
         for batch in batches:
             texts, held, chars, at = batch.column(len(kept)), [], 0, 0
             for i in range(batch.num_rows):
                 held.append(texts[i].as_py() or "")
                 chars += len(held[-1])
                 if chars >= HELD or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(held)).columns[: len(kept)], _list_column(codec.encode(held))], names=[*kept, "ids"])
+                    parts = codec.encode(held)
+                    own = [pa.array([back.decode(np.frombuffer(x, "<i4")) for x in parts], pa.binary())] if back else []
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(held)).columns[: len(kept)], _list_column(parts), *own], names=names)
                     held, chars, at = [], 0, i + 1
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*kept).schema), "ids array<int>"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*kept).schema), "ids array<int>", *(["b binary"] if bytes_col else [])])
     out = table.mapInArrow(work, schema)
-    return out.select(*[F.col(c).alias(old) for old, c in zip(docs.columns, inner.columns) if c in kept], F.col("ids").alias(ids_col))
+    added = [F.col("ids").alias(ids_col), *([F.col("b").alias(bytes_col)] if bytes_col else [])]
+    return out.select(*[F.col(c).alias(old) for old, c in zip(docs.columns, inner.columns) if c in kept], *added)
 
 
 def decoded(df: DataFrame, vocab_file: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -249,13 +265,13 @@ def decoded(df: DataFrame, vocab_file: str | None = None, ids_col: str = "ids",
     Null where the list is null, holds a null, or holds an id without a piece; empty lists give no bytes. Repeated rows
     are repeated, other columns stay, an empty table stays empty.
     """
-    vocab_file, pattern = _defaults(vocab_file, None)
+    vocab_file, _ = _defaults(vocab_file, None)
     inner, named = plain_names(df)
     kept = [c for old, c in zip(df.columns, inner.columns) if old.lower() != bytes_col.lower()]
     table = inner.select(*kept, F.col(named[ids_col]).cast("array<int>").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocab_file, pattern)
+        codec = _loaded(ByteDecoder, vocab_file)
         for batch in batches:
             lists, parts, at, held = batch.column(len(kept)), [], 0, 0
             for i in range(batch.num_rows):
@@ -273,7 +289,7 @@ def decoded(df: DataFrame, vocab_file: str | None = None, ids_col: str = "ids",
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole document: encoded, then decoded from the ids."""
-    both = decoded(encoded(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    both = encoded(documents(spark, sf_dir).select("doc_id", "text"), bytes_col="decoded").drop("text")
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

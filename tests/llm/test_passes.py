@@ -237,6 +237,10 @@ def test_ids_and_bytes_of_a_table(spark, oracle):
     assert out.columns == ["doc_id", "text", "lang", "T", "c0", "ids", "decoded"]
     rows = out.collect()
     assert len(rows) == len(texts)
+    once = bytebpe.encoded(df.drop("IDS").withColumn("B", F.lit(0)), bytes_col="b")
+    assert once.columns == ["doc_id", "text", "lang", "T", "c0", "ids", "b"]
+    for row in once.collect():
+        assert bytes(row.b) == (texts[row.c0] or "").encode()
     for row in rows:
         text = texts[row.c0] or ""
         assert row.ids == enc.encode_ordinary(text) and bytes(row.decoded) == text.encode()
