@@ -98,28 +98,76 @@ class Model:
         e = (r - self.observed) * self.kmer_weights
         return State(p, free, q, w, r, float((e**2).mean()), (e**2).mean(axis=1))
 
-    def gradient(self, s: State) -> np.ndarray:
+    def adjoint(self, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """(derivative of the error by each q, by each background share), free protein held fixed."""
+        total = s.w.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            scale = np.where(self.f0 > 0, 1 / self.f0, 0.0)
+        pull = 2 / s.r.size * (s.r - self.observed) * self.kmer_weights**2 * scale
+        by_q = pull / total - (pull * s.w).sum(axis=1, keepdims=True) / total**2
+        return by_q, by_q @ self.f0_counts
+
+    def gradient(self, s: State, threshold: float = 0.0) -> np.ndarray:
         """Of the mean squared error by every parameter, free protein held fixed.
 
-        A read's occupancy changes by psi (1 - psi) d ln Z; each task adds up the k-mer counts under those weights,
-        so one pass over the reads yields the sums for all parameters.
+        The error's derivative by each k-mer's bound weight, (samples, 4**k) numbers, goes to the tasks. A read adds up
+        those of its k-mers, times the change of its occupancy, and so has one factor for the derivatives of its sites;
+        a task returns one number for each parameter. Reads whose partition function is below `threshold` times the
+        greatest are passed over; 0 takes all.
         """
         p = s.parameters
-        columns = [(j, m, y) for j in range(len(s.free)) for m, motif in enumerate(p.motifs) for y in range(1 + motif.matrix.size)]
-        dw = self._sums(_occupancy(p.motifs, s.free, self.linear, gradient=True), len(columns))
-        total = s.w.sum(axis=1)
-        e = (s.r - self.observed) * self.kmer_weights
-        out = np.zeros(len(p.vector()))
-        starts = np.concatenate(([0], np.cumsum([1 + m.matrix.size for m in p.motifs])))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scale = np.where(self.f0 > 0, 1 / self.f0, 0.0)
-        for c, (j, m, y) in enumerate(columns):
-            dr = scale * (dw[c] / total[j] - s.w[j] * dw[c].sum() / total[j] ** 2)
-            out[starts[m] + y] += (e[j] * self.kmer_weights * dr).sum()
-        for j in range(len(s.free)):
-            dr = scale * (self.f0_counts / total[j] - s.w[j] * self.f0_counts.sum() / total[j] ** 2)
-            out[starts[-1] + j] = (e[j] * self.kmer_weights * dr).sum()
-        return out * 2 / e.size
+        by_q, by_beta = self.adjoint(s)
+        spark = self.reads.sparkSession
+        shared = spark.sparkContext.broadcast(by_q)
+        k, linear, free = self.k, self.linear, s.free
+        motifs = p.motifs
+        least = threshold * self.greatest_sum(motifs) if threshold > 0 else 0.0
+        size = sum(1 + m.matrix.size for m in motifs)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for batch in batches:
+                for codes in _by_length(batch.column(0).to_pylist()):
+                    found = _sites(codes, motifs)
+                    total = sum(z.sum(axis=1) for _, z in found)
+                    keep = (total > 0) & (total >= least)
+                    if not keep.any():
+                        continue
+                    codes, total, found = codes[keep], total[keep], [(x[keep], z[keep]) for x, z in found]
+                    y = total[:, None] * free[None, :] * motifs[0].a0
+                    psi = y if linear else y / (y + 1)
+                    slope = (psi if linear else psi * (1 - psi)) / total[:, None]
+                    index = _kmer_index(codes, k)
+                    factor = sum(slope[:, j] * own[index].sum(axis=1) for j, own in enumerate(shared.value))
+                    at = 0
+                    for m, (x, z) in zip(motifs, found):
+                        weighed = z * factor[:, None]
+                        out[at] += weighed.sum() / m.a0
+                        for d in range(m.width):
+                            letters = x[:, d : d + z.shape[1]]
+                            out[at + 1 + 4 * d : at + 5 + 4 * d] += np.bincount(letters.ravel(), weighed.ravel(), 4)[:4] / m.matrix[d]
+                        at += 1 + m.matrix.size
+            yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(out)], names=["y", "v"])
+
+        rows = self.reads.select("seq").mapInArrow(work, "y int, v double").groupBy("y").sum("v").collect()  # one row a parameter
+        shared.unpersist()
+        out = np.zeros(size)
+        for y, v in rows:
+            out[y] = v
+        return np.concatenate([out, by_beta])
+
+    def greatest_sum(self, motifs: list[Motif]) -> float:
+        """The greatest partition function of a read at unit affinity of the first motif."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = 0.0
+            for batch in batches:
+                for codes in _by_length(batch.column(0).to_pylist()):
+                    if len(codes):
+                        top = max(top, float(sum(z.sum(axis=1) for _, z in _sites(codes, motifs)).max()))
+            yield pa.record_batch([pa.array([top])], names=["z"])
+
+        return self.reads.select("seq").mapInArrow(work, "z double").agg({"z": "max"}).first()[0] or 0.0
 
     def best_betas(self, s: State, low: float = 1e-9, high: float = 1.0) -> Parameters:
         """Each sample's background share by a nested log-spaced search; no pass over the reads."""
@@ -163,34 +211,26 @@ def _kmer_index(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _occupancy(motifs: list[Motif], free: np.ndarray, linear: bool, gradient: bool = False) -> Callable:
-    """Weights of a batch of equal-length reads: psi for each sample, or its derivative by each sample, motif and parameter."""
+def _sites(codes: np.ndarray, motifs: list[Motif]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each motif the letters of the flanked reads and the weight of each site, relative to the first motif's affinity."""
+    out = []
+    for m in motifs:
+        x = _flanked(codes, m.width - 1)
+        n = x.shape[1] - m.width + 1
+        z = np.full((len(x), n), m.a0 / motifs[0].a0)
+        for d in range(m.width):
+            z *= m.matrix[d][x[:, d : d + n]]
+        out.append((x, z))
+    return out
+
+
+def _occupancy(motifs: list[Motif], free: np.ndarray, linear: bool) -> Callable:
+    """Weights of a batch of equal-length reads: psi for each sample."""
 
     def weigh(codes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, int]:
-        sites, total = [], np.zeros(len(codes))
-        for m in motifs:
-            x = _flanked(codes, m.width - 1)
-            n = x.shape[1] - m.width + 1
-            z = np.ones((len(x), n))
-            for d in range(m.width):
-                z *= m.matrix[d][x[:, d : d + n]]
-            z *= m.a0 / motifs[0].a0
-            sites.append((x, z))
-            total = total + z.sum(axis=1)
+        total = sum(z.sum(axis=1) for _, z in _sites(codes, motifs))
         y = total[:, None] * free[None, :] * motifs[0].a0
-        psi = y if linear else y / (y + 1)
-        if not gradient:
-            return psi, len(free)
-        slope = np.where(total[:, None] > 0, (psi if linear else psi * (1 - psi)) / np.maximum(total[:, None], 1e-300), 0.0)
-        cols = []
-        for j in range(len(free)):
-            for m, (x, z) in zip(motifs, sites):
-                n = z.shape[1]
-                cols.append(slope[:, j] * z.sum(axis=1) / m.a0)
-                for d in range(m.width):
-                    for nt in range(4):
-                        cols.append(slope[:, j] * (z * (x[:, d : d + n] == nt)).sum(axis=1) / m.matrix[d, nt])
-        return np.stack(cols, axis=1), len(cols)
+        return (y if linear else y / (y + 1)), len(free)
 
     return weigh
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
 from kmerlake.operators import cooperative as co
+from kmerlake.operators import fit as ft
+from kmerlake.operators import metrics as mt
 from kmerlake.operators import overlap as ov
 from kmerlake.operators import resampling as rs
 from kmerlake.operators.sampling import poisson_steps
@@ -88,3 +90,19 @@ def _(spark, d):
     kappa = kappa.join(F.broadcast(kappa.agg(F.sum("n").alias("t"))), how="cross").select("kmer", (F.col("n") / F.col("t")).alias("share"))
     occupied = ov.occupancies(rs.r_values_with_error(r, 4).select("conc", "kmer", F.col("r").alias("o")), m, "o")
     return rounded(ov.predicted_enrichment(occupied, m, kappa), "r", "background", digits=5)
+
+
+@query("model_gradient")
+def _(spark, d):
+    """Derivative of the model's error by each of its parameters, of all reads and of those with a fair chance to be bound."""
+    r = reads(spark, d)
+    k, concs = 3, [5.0, 20.0, 80.0]
+    observed = np.ones((3, 4**k))
+    for x in mt.r_values(r, k).select("conc", sq.kmer_index("kmer").alias("i"), "r").collect():  # 4**k rows for each sample
+        observed[concs.index(x["conc"]), x["i"]] = x["r"]
+    control = r.where("conc = 0").persist()
+    model = ft.Model(control, k, observed, concs)
+    state = model.state(ft.Parameters([MOTIF, OTHER], np.full(3, 0.01)))
+    whole, part = model.gradient(state), model.gradient(state, 0.01)
+    control.unpersist()
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(whole, part))], "parameter int, derivative double, above_threshold double")

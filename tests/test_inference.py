@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
 from kmerlake.operators import cooperative as co
+from kmerlake.operators import fit as ft
 from kmerlake.operators import metrics as mt
 from kmerlake.operators import overlap as ov
 from kmerlake.operators import resampling as rs
@@ -237,3 +238,39 @@ def test_every_registered_metric_has_values(spark, library):
         assert {r.conc for r in rows} == {5.0, 20.0} and {r.metric for r in rows} == {name}
         assert any(r.value is not None and r.value > 0 for r in rows)
         assert (name in mt.WITH_ERROR) == any(r.err is not None for r in rows)
+
+
+# gradient
+
+
+@pytest.mark.parametrize("linear", [False, True])
+def test_adjoint_gradient_of_two_motifs_against_differences(spark, linear):
+    r = np.random.default_rng(5)
+    reads = spark.createDataFrame([(i, "".join(r.choice(list("ACGU"), 10 + i % 3))) for i in range(60)], "read_id long, seq string").persist()
+    motifs = [Motif.of(r.random((3, 4)) * 0.8 + 0.1, 0.2), Motif.of(r.random((2, 4)) * 0.8 + 0.1, 0.05)]
+    weights = r.random(16) + 0.5
+    model = ft.Model(reads, 2, 1 + 0.2 * r.random((2, 16)), [5.0, 20.0], linear=linear, kmer_weights=weights)
+    p, free = ft.Parameters(motifs, np.array([0.05, 0.02])), np.array([2.0, 7.0])
+    s = model.state(p, free)
+
+    def error(x):
+        cells = [x[1:13].reshape(3, 4), x[14:22].reshape(2, 4)]
+        return model.state(ft.Parameters([Motif(cells[0], x[0]), Motif(cells[1], x[13])], x[22:]), free).error
+
+    g, x = model.gradient(s), p.vector()
+    for i in (0, 2, 7, 12, 13, 15, 21, 22, 23):
+        h = np.zeros(len(x))
+        h[i] = 1e-4 * max(x[i], 0.1)
+        assert math.isclose(g[i], (error(x + h) - error(x - h)) / (2 * h[i]), rel_tol=1e-3, abs_tol=1e-9)
+    np.testing.assert_array_equal(model.gradient(s, 0.0), g)
+    sums = {row.read_id: sum(z.sum() for _, z in ft._sites(ft._CODE[np.frombuffer(row.seq.encode(), np.uint8)][None, :], motifs)) for row in reads.collect()}
+    top = max(sums.values())
+    assert math.isclose(model.greatest_sum(motifs), top)
+    cut = sorted(sums.values())[20] / top * (1 - 1e-12)
+    kept = [i for i, v in sums.items() if v >= cut * top]
+    assert 0 < len(kept) < 60
+    part = ft.Model(reads.where(F.col("read_id").isin(kept)), 2, model.observed, [5.0, 20.0], linear=linear, kmer_weights=weights)
+    part.adjoint = model.adjoint
+    np.testing.assert_allclose(model.gradient(s, cut), part.gradient(s), rtol=1e-12)
+    assert abs(model.gradient(s, cut) - g).max() > 0
+    reads.unpersist()
