@@ -22,6 +22,8 @@ BLOCK = 1 << 17
 SHARE = 1 / 1024
 _TOKEN_SLOTS = 1 << 16
 _FIRST_ID = -(1 << 63)
+#: A line's number within all rows of its id: the row's number, then this many bits for the line's number in the row.
+LINE_BITS = 28
 _LOW = np.uint64((1 << 56) - 1)
 #: Columns that equal word sets share.
 KIND = ("k", "n", "bits", "more")
@@ -45,18 +47,18 @@ def _shared(n: np.ndarray, m: np.ndarray, pct: int) -> np.ndarray:
     return ((n + m) * pct + 99 + pct) // (100 + pct)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(ids, texts) of about PIECE bytes; a longer text comes alone."""
-    ids: list[int] = []
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """(ids and numbers of rows, texts) of about PIECE bytes; a longer text comes alone."""
+    ids: list[tuple[int, int]] = []
     texts: list[bytes] = []
     held = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for i, row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             raw = t.as_py()
             if texts and held + len(raw) > PIECE:
                 yield ids, texts
                 ids, texts, held = [], [], 0
-            ids.append(i)
+            ids.append((i, row))
             texts.append(raw)
             held += len(raw)
     if texts:
@@ -111,7 +113,7 @@ def _line_table(base: DataFrame, pct: int) -> DataFrame:
     empty where only an equal set can match. The tokens themselves are not kept: those of the few lines that get as
     far as a comparison are cut out of the texts again.
     """
-    base = base.where("text is not null").select("doc", F.lower("text").cast("binary").alias("text"))
+    base = base.where("text is not null").select("doc", "row", F.lower("text").cast("binary").alias("text"))
     level = _rarity(base)
     names = ["doc", "no", *KIND, "prefix"]
 
@@ -132,11 +134,15 @@ def _line_table(base: DataFrame, pct: int) -> DataFrame:
             offset = np.concatenate(([0], np.cumsum(size)))
             taken = np.repeat(start - offset[:-1], size) + np.arange(offset[-1])
             prefix = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(mix64(r[taken]).astype(np.uint32).view(np.int32)))
-            columns = [np.array(ids, np.int64)[text], (line - first[text]).astype(np.int32), np.add.reduceat(mix64(r), start).view(np.int64), n.astype(np.int32), *[x.view(np.int64) for x in halves]]
+            own = line - first[text]
+            if int(own.max()) >> LINE_BITS:
+                raise ValueError("a text has too many lines")
+            rows = np.array(ids, np.int64).reshape(-1, 2)[text]
+            columns = [rows[:, 0], (rows[:, 1] << LINE_BITS) | own, np.add.reduceat(mix64(r), start).view(np.int64), n.astype(np.int32), *[x.view(np.int64) for x in halves]]
             yield pa.record_batch([*map(pa.array, columns), prefix], names=names)
 
     path = fresh_path(base.sparkSession, "lines")
-    base.mapInArrow(work, "doc long, no int, k long, n int, bits long, more long, prefix array<int>").write.parquet(path)
+    base.mapInArrow(work, "doc long, no long, k long, n int, bits long, more long, prefix array<int>").write.parquet(path)
     return base.sparkSession.read.parquet(path)
 
 
@@ -250,7 +256,7 @@ def _candidates(classes: DataFrame, pct: int) -> DataFrame:
             none = partner < 0
             yield pa.record_batch([pa.array(doc[row]), pa.array(no[row]), pa.array(doc[partner], mask=none), pa.array(no[partner], mask=none), pa.array(others)], names=names)
 
-    found = dealt.mapInArrow(work, "adoc long, ano int, bdoc long, bno int, others boolean")
+    found = dealt.mapInArrow(work, "adoc long, ano long, bdoc long, bno long, others boolean")
     a, b = F.struct(F.col("adoc").alias("doc"), F.col("ano").alias("no")), F.struct(F.col("bdoc").alias("doc"), F.col("bno").alias("no"))
     return cut(found.select(a.alias("a"), F.when(F.col("bdoc").isNotNull(), b).alias("b"), "others").distinct())
 
@@ -262,12 +268,14 @@ def _later(x: str, y: str) -> "F.Column":
 def _tokens_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, tokens) of the lines in pairs, ids being structs of doc and no, read again from the texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(ids.groupBy(F.col("id.doc").alias("want")).agg(F.collect_list("id.no").alias("nos")))
-    n_bytes = wanted.agg(F.sum(F.size("nos") * 8 + 48)).first()[0] or 0
+    row = F.shiftright("id.no", LINE_BITS)
+    wanted = cut(ids.groupBy(F.col("id.doc").alias("want"), row.alias("want_row")).agg(F.collect_list("id.no").alias("nos")))
+    n_bytes = wanted.agg(F.sum(F.size("nos") * 8 + 56)).first()[0] or 0
     wanted = F.broadcast(wanted) if n_bytes <= BROADCAST_BYTES else wanted  # so that few lines are found without a shuffle of the texts
-    chosen = base.join(wanted, F.col("doc") == F.col("want"))
-    lines = chosen.select("doc", "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
-    return lines.select(F.struct("doc", "no").alias("id"), line_tokens(F.col("line")).alias("tokens")).dropDuplicates(["id"])
+    chosen = base.join(wanted, (F.col("doc") == F.col("want")) & (F.col("row") == F.col("want_row")))
+    lines = chosen.select("doc", "row", "nos", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("doc", (F.shiftleft("row", LINE_BITS) + F.col("at")).alias("no"), "nos", "line").where(F.array_contains("nos", F.col("no")))
+    return lines.select(F.struct("doc", "no").alias("id"), line_tokens(F.col("line")).alias("tokens"))
 
 
 def _may_match(pct: int) -> "F.Column":
@@ -294,18 +302,39 @@ def _matched(base: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     return cut(verified(pairs, cut(_tokens_of(base, pairs)), pct).select("a").distinct())
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, no) of every line, numbered from 0, that repeats an earlier one: the Jaccard index of their word sets is at least `least`.
+def numbered(docs: DataFrame, id_: "F.Column", text: "F.Column") -> DataFrame:
+    """docs with _doc, the id or, where it is null, the least one, and _row, the row's number from 0 among those of its id.
 
-    Earlier is by document id, then line number, judged on the input; a null id counts as the least id and is
-    returned as such. Lines without words are never removed; null texts have no lines, and an empty table gives none.
-    Rows that share an id are taken as one document. A very long text is cut as a whole in one task.
-    Lines of equal word sets are one class, represented by its first line. In each bucket of a prefix token a class is
-    held against the likeliest of the earlier ones that pass the filters, which settles groups of near copies without
-    their pairs; only classes left over that have other candidates meet all of these.
+    Rows that share an id are numbered in the order of a hash of their texts, equal ones in any. They are sorted in
+    ranges that may split an id, written in the shared folder and counted there; only the counts of the ranges reach the
+    driver. Where all ids differ, which takes a count of the ids alone, nothing is written.
     """
+    rows = docs.withColumn("_doc", F.coalesce(id_.cast("long"), F.lit(_FIRST_ID)))
+    many = cut(rows.groupBy("_doc").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_doc").alias("_many")))
+    if not many.limit(1).count():
+        return rows.withColumn("_row", F.lit(0).cast("long"))
+    many = sized(many, 16)
+    alone = rows.join(many, F.col("_doc") == F.col("_many"), "left_anti").withColumn("_row", F.lit(0).cast("long"))
+    own = rows.join(many, F.col("_doc") == F.col("_many"), "left_semi").withColumn("_hash", F.xxhash64(text)).withColumn("_salt", F.rand(1))
+    own = cut(own.repartitionByRange("_doc", "_hash", "_salt").sortWithinPartitions("_doc", "_hash").drop("_salt"))
+    own = own.withColumn("_at", F.monotonically_increasing_id())  # range << 33, then the place in the range
+    counts = {r["p"]: r["n"] for r in own.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p] = total
+        total += counts[p]
+    spark = docs.sparkSession
+    starts = F.broadcast(spark.createDataFrame(list(before.items()), "_p long, _before long"))  # a row a range
+    own = own.join(starts, F.shiftright("_at", 33) == F.col("_p")).withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    first = sized(own.groupBy(F.col("_doc").alias("_many")).agg(F.min("_at").alias("_first")), 24)
+    own = own.join(first, F.col("_doc") == F.col("_many")).withColumn("_row", F.col("_at") - F.col("_first"))
+    return alone.unionByName(own.select(*alone.columns))
+
+
+def _removed(rows: DataFrame, text: "F.Column", least: float) -> DataFrame:
+    """(_d, _r, no) of the lines of numbered() rows that repeat an earlier one."""
     pct = percent(least)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    base = rows.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), text.cast("string").alias("text"))
     lines = _line_table(base, pct)
     classes = _classes(lines)
     found = _candidates(classes, pct)
@@ -319,25 +348,49 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = classes.select(*KIND, "doc", "no", "lines").join(lost, ["doc", "no"], "left").where("lines > 1 or lost")
     firsts = gone.select(*KIND, F.struct("doc", "no").alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
     every = lines.select(*KIND, "doc", "no").join(firsts, list(KIND))
-    return every.where(F.col("lost") | (F.struct("doc", "no") != F.col("first"))).select(F.col("doc").alias("doc_id"), "no").distinct()
+    every = every.where(F.col("lost") | (F.struct("doc", "no") != F.col("first"))).distinct()
+    return every.select(F.col("doc").alias("_d"), F.shiftright("no", LINE_BITS).alias("_r"), F.col("no").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("no"))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """(doc_id, row, no) of every line, numbered from 0, that repeats an earlier one: the Jaccard index of their word sets is at least `least`.
+
+    Earlier is by document id, then row, then line number, judged on the input; a null id counts as the least id and is
+    returned as such. Rows that share an id, null included, stay documents of their own: `row` numbers them from 0 in
+    the order of a hash of their texts, and 0 is the only row of an id that no other has. Of rows repeated in full the
+    first keeps its lines. Lines without words are never removed; null texts have no lines, and an empty table gives
+    none. A very long text is cut as a whole in one task.
+    Lines of equal word sets are one class, represented by its first line. In each bucket of a prefix token a class is
+    held against the likeliest of the earlier ones that pass the filters, which settles groups of near copies without
+    their pairs; only classes left over that have other candidates meet all of these.
+    """
+    rows = numbered(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), F.col("i"), F.col("t"))
+    return _removed(rows, F.col("t"), least).select(F.col("_d").alias("doc_id"), F.col("_r").alias("row"), "no")
+
+
+def _with_removed(rows: DataFrame, text: "F.Column", least: float) -> DataFrame:
+    """numbered() rows with _gone, the numbers of their lines that go, null if none does."""
+    gone = _removed(rows, text, least).groupBy("_d", "_r").agg(F.array_sort(F.collect_list("no")).alias("_gone"))
+    return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) for every row: its lines, and the numbers of those that go, joined by commas. A null text has 0 lines."""
-    gone = removed_lines(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list("no")).alias("removed"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n")), F.lit(0)).alias("n_lines"))
-    base = base.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = base.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)) == F.col("_doc"), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.array_join(removed, ",").alias("removed"))
+    """(doc_id, n_lines, n_removed, removed) for every row: its lines, and the numbers of those that go, joined by commas.
+
+    A null text has 0 lines; a very long one is cut as a whole. Rows that share an id, null or not, have a report each.
+    """
+    rows = numbered(docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")), F.col("i"), F.col("t"))
+    joined = _with_removed(rows, F.col("t"), least)
+    removed = F.coalesce("_gone", F.array().cast("array<int>"))
+    n_lines = F.greatest(F.coalesce(F.size(F.split("t", "\n")), F.lit(0)), F.lit(0))
+    return joined.select(F.col("i").alias("doc_id"), n_lines.alias("n_lines"), F.size(removed).alias("n_removed"), F.array_join(removed, ",").alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs, all columns, with the later matches taken out of its texts. Other columns may have any names."""
+    """docs, all columns, with the later matches taken out of its texts. Other columns may have any names; rows that share an id, null or not, are documents of their own."""
     inner, name = plain_names(docs)
-    key, text = F.col(name[id_col]).cast("long"), F.col(name[text_col])
-    gone = removed_lines(inner, name[id_col], name[text_col], least).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("no").alias("_gone"))
-    joined = inner.join(gone, F.coalesce(key, F.lit(_FIRST_ID)) == F.col("_doc"), "left")
+    text = F.col(name[text_col])
+    joined = _with_removed(numbered(inner, F.col(name[id_col]), text), text, least)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
     return joined.withColumn(name[text_col], F.when(F.col("_gone").isNull(), text).otherwise(kept)).select(*inner.columns).toDF(*docs.columns)
 

@@ -458,6 +458,47 @@ def test_lines_by_brute_force(spark, monkeypatch, hot, block):
     assert kept == {i: t if t is None or not any(d == i for d, _ in got) else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got) for i, t in docs}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Each row is a document of its own: unique lines stay, whatever the ids."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = ["\n".join(" ".join(words[int(x)] for x in rng.integers(0, 30, int(rng.integers(1, 9)))) for _ in range(3)) for _ in range(60)]
+    docs = [(None if k % 3 == 0 else k % 5, t) for k, t in enumerate(texts)]
+    docs += [(1, "q w e r t"), (5, "unique text here now"), (5, "q w e r t"), (None, "all fresh words here\nsecond fresh line"), (None, "x y\nq w e r t"), (None, None), (None, ""), *[(7, "seven seven\nalone in seven")] * 5, *[(None, "null null\nalone in null")] * 5]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, _row int").repartition(7)
+    out = linededup.deduplicated(df).collect()
+    assert sorted(r["_row"] for r in out) == list(range(len(docs)))
+    got = {r["_row"]: r["text"] for r in out}
+    numbers = {}
+    for r in linededup.numbered(df.withColumnRenamed("_row", "k"), F.col("doc_id"), F.col("text")).collect():
+        numbers.setdefault((r["_doc"], r["text"]), []).append(r["_row"])
+    for (i, _t), own in numbers.items():
+        assert len(set(own)) == len(own), i
+    by_id = {}
+    for (i, _t), own in numbers.items():
+        by_id.setdefault(i, []).extend(own)
+    assert all(sorted(v) == list(range(len(v))) for v in by_id.values())
+    lines, want = [], {}
+    keyed = sorted((linededup._FIRST_ID if i is None else i, n, t) for (i, t), own in numbers.items() if t is not None for n in own)
+    for i, n, t in keyed:
+        stay = []
+        for line in t.split("\n"):
+            w = set(line.lower().split())
+            if not w or not any(100 * len(w & v) >= 80 * len(w | v) for v in lines):
+                stay.append(line)
+            if w:
+                lines.append(w)
+        want.setdefault((i, t), []).append("\n".join(stay) if len(stay) < len(t.split("\n")) else t)
+    found = {}
+    for k, (i, t) in enumerate(docs):
+        if t is not None:
+            found.setdefault((linededup._FIRST_ID if i is None else i, t), []).append(got[k])
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert got[len(texts) + 1] == "unique text here now" and got[len(texts) + 3] == "all fresh words here\nsecond fresh line"
+    report = linededup.line_report(df).collect()
+    assert len(report) == len(docs) and sum(r["n_removed"] for r in report) == linededup.removed_lines(df).count()
+
+
 def test_lines_awkward(spark):
     got = linededup.line_report(awkward(spark)).collect()
     assert len(got) == 8 and {r["n_lines"] for r in got if r["doc_id"] == 5} == {0}
