@@ -130,8 +130,3 @@ def density(hist: DataFrame, width: float, *within: str) -> DataFrame:
     nxt = F.lead("n").over(w.orderBy("bin"))
     area = F.sum((F.col("n") + F.col("_next")) / 2 * width).over(w)
     return hist.withColumn("_next", nxt).withColumn("density", F.col("n") / area).drop("_next")
-
-
-def equal_frequency(df: DataFrame, x: str, bins: int, *ties: str) -> DataFrame:
-    """Adds bin: 1 to `bins`, of equal numbers of rows in order of x."""
-    return df.withColumn("bin", F.ntile(bins).over(Window.orderBy(x, *ties)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerlake.functions.energy import accessibility
 from kmerlake.operators.motifs import Motif, site_weights
+from kmerlake.operators.ordering import exact_quantiles
 
 
 def synthetic_energies(reads: DataFrame, k: int) -> DataFrame:
@@ -27,12 +28,14 @@ def joined_energies(reads: DataFrame, energies: DataFrame, width: int) -> DataFr
 
 def informative_reads(reads: DataFrame, z: str = "z", share: float = 1e-3) -> DataFrame:
     """Reads whose z is above a share of the greatest; above the median if that keeps over half of them."""
-    s = reads.agg(F.max(z).alias("top"), F.percentile(z, F.lit(0.5)).alias("mid")).first()
-    if s["top"] is None:
+    top = reads.agg(F.max(z)).first()[0]
+    if top is None:
         return reads
-    cut = share * s["top"]
+    cut = share * top
     n = reads.agg(F.avg((F.col(z) > cut).cast("double"))).first()[0]
-    return reads.where(F.col(z) > (s["mid"] if n > 0.5 else cut))
+    if n > 0.5:
+        cut = exact_quantiles(reads, z, [0.5]).first()["value"]
+    return reads.where(F.col(z) > cut)
 
 
 def footprint(reads: DataFrame, motif: Motif, weight: Column | None = None, pad: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerlake.operators.ordering import below
+
 
 def kmer_ranking(r: DataFrame, value: str = "r") -> DataFrame:
     """(kmer, median, rank): k-mers by their median over samples, greatest first; rank from 1."""
@@ -95,9 +97,15 @@ def uncertainty(history: DataFrame, within: float = 1.05, least: int = 10) -> Da
 
 
 def cumulative_curve(values: DataFrame, x: str, weight: str, *within: str) -> DataFrame:
-    """Adds cum: share of weight at or below x."""
-    w = Window.partitionBy(*within)
-    return values.withColumn("cum", F.sum(weight).over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w))
+    """Adds cum: share of weight at or below x, null where x is. Sums go by value and by range of values, not by a window over the group."""
+    sums = below(values, x, *within, w=F.col(weight))
+    total = values.groupBy(*within).agg(F.sum(weight).alias("_whole"))
+    names = [F.col(c).alias(f"_w{i}") for i, c in enumerate(within)]
+    upto = sums.select(*names, F.col(x).alias("_x"), (F.col("w_below") + F.col("w")).alias("_upto"))
+    of_group = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)]
+    rows = values.join(upto, [F.col(x) == F.col("_x"), *of_group], "left").drop("_x", *[f"_w{i}" for i in range(len(within))])
+    rows = rows.join(total.select(*names, "_whole"), of_group, "left").drop(*[f"_w{i}" for i in range(len(within))]) if within else rows.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("cum", F.col("_upto") / F.col("_whole")).drop("_upto", "_whole")
 
 
 def smoothed(values: DataFrame, x: str, y: str, sigma: float, reach: int, *within: str) -> DataFrame:

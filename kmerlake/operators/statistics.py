@@ -7,21 +7,16 @@ import math
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(df: DataFrame, x: str, out: str, *within: str) -> DataFrame:
-    """Adds the rank of x from 1, ties at their mean."""
-    w = Window.partitionBy(*within)
-    same = Window.partitionBy(*within, x)
-    return df.withColumn(out, F.rank().over(w.orderBy(x)) + (F.count("*").over(same) - 1) / 2)
+from kmerlake.operators.ordering import below, exact_quantiles, ranked
 
 
 def correlations(df: DataFrame, x: str, y: str, *within: str) -> DataFrame:
     """(within, pearson, spearman, n)."""
-    ranked = average_rank(average_rank(df, x, "_rx", *within), y, "_ry", *within)
-    return ranked.groupBy(*within).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    both = ranked(ranked(df, x, "_rx", *within), y, "_ry", *within)
+    return both.groupBy(*within).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 
 def regression(df: DataFrame, x: str, y: str, *within: str) -> DataFrame:
@@ -39,13 +34,16 @@ def ridge(df: DataFrame, features: list[str], y: str, alpha: float = 0.5) -> dic
 
 
 def quantiles(df: DataFrame, x: str, *within: str) -> DataFrame:
-    return df.groupBy(*within).agg(*[F.percentile(x, F.lit(p)).alias(f"p{int(100 * p):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    """(within, p05, p25, p50, p75, p95), from counts by value."""
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    found = exact_quantiles(df, x, list(shares), *within)
+    return found.groupBy(*within).agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{int(100 * p):02d}") for p in shares])
 
 
 def mann_whitney(df: DataFrame, x: str, flag: str) -> DataFrame:
     """(u, n1, n0, z): U of the flagged rows against the others, and its normal deviate without a tie correction."""
-    ranked = average_rank(df, x, "_r")
-    s = ranked.agg(F.sum(F.when(F.col(flag), F.col("_r"))).alias("r1"), F.sum(F.col(flag).cast("long")).alias("n1"), F.sum((~F.col(flag)).cast("long")).alias("n0"))
+    one, none = F.col(flag).cast("long"), (~F.col(flag)).cast("long")
+    s = below(df, x, n1=one, n0=none).agg(F.sum(F.col("n1") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("r1"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     return s.select(u.alias("u"), "n1", "n0", ((u - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kmerlake.functions import sequence as sq
 from kmerlake.operators import binning as bn
 from kmerlake.operators import counts as kc
+from kmerlake.operators import ordering as od
 from kmerlake.operators import sampling as sm
 from kmerlake.operators import sets as st
 from kmerlake.operators import tokens as tk
@@ -269,5 +270,5 @@ def _(spark, d):
 
 @query("equal_frequency_bins", "WITH b AS (SELECT o_totalprice, ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS bin FROM orders) SELECT bin::INTEGER AS bin, count(*) AS n, round(min(o_totalprice), 2)::DOUBLE AS low FROM b GROUP BY bin")
 def _(spark, d):
-    rows = bn.equal_frequency(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), "o_totalprice", 10, "o_orderkey")
+    rows = od.equal_frequency(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), "o_totalprice", 10, "o_orderkey")
     return rounded(rows.groupBy("bin").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low")), "low", digits=2)

@@ -9,10 +9,11 @@ from kmerlake.functions import sequence as sq
 from kmerlake.operators import cooperative as co
 from kmerlake.operators import fit as ft
 from kmerlake.operators import metrics as mt
+from kmerlake.operators import ordering as od
 from kmerlake.operators import overlap as ov
 from kmerlake.operators import resampling as rs
 from kmerlake.operators.sampling import poisson_steps
-from kmerlake.plans.base import READS, full, query, reads, replicate_u, rounded
+from kmerlake.plans.base import READS, full, query, reads, replicate_u, rounded, table
 from kmerlake.plans.modelling import MOTIF, OTHER, product
 
 PAIR = co.Binding([MOTIF, OTHER], [40.0, 25.0], np.array([[1.0, 6.0], [0.25, 3.0]]), reach=1)
@@ -92,6 +93,13 @@ def _(spark, d):
     return rounded(ov.predicted_enrichment(occupied, m, kappa), "r", "background", digits=5)
 
 
+@query("information_test")
+def _(spark, d):
+    """Bits that the price of an order tells of its customer's balance, against a hundred random orders of the prices."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rounded(od.mutual_information_test(o, "o_totalprice", "c_acctbal"), "mi", "null_mean", "null_sd", "z", "p")
+
+
 @query("model_gradient")
 def _(spark, d):
     """Derivative of the model's error by each of its parameters, of all reads and of those with a fair chance to be bound."""

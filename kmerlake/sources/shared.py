@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -17,3 +17,11 @@ def shared_path(spark: SparkSession, kind: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="kmerlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written in the shared folder, its lineage cut, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_path(df.sparkSession, "cut"))
+    return df.checkpoint(eager=True)

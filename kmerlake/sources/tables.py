@@ -81,8 +81,8 @@ def oligo_counts(counts: DataFrame, crosstalk: DataFrame, least_input: int = 100
 
 def oligo_enrichment(counts: DataFrame, sample: str, pseudo: float = 1.0) -> DataFrame:
     """(id, enrichment): (n + pseudo) / (n_input + pseudo) times the ratio of the samples' totals."""
-    whole = F.sum(sample).over(Window.partitionBy()) / F.sum("n_input").over(Window.partitionBy())
-    return counts.select("id", ((F.col(sample) + pseudo) / (F.col("n_input") + pseudo) * whole).alias("enrichment"))
+    whole = counts.agg((F.sum(sample) / F.sum("n_input")).alias("_whole"))
+    return counts.crossJoin(F.broadcast(whole)).select("id", ((F.col(sample) + pseudo) / (F.col("n_input") + pseudo) * F.col("_whole")).alias("enrichment"))  # one row
 
 
 def unpivoted_motifs(wide: DataFrame, proteins: list[str]) -> DataFrame:
