@@ -124,6 +124,24 @@ def histogram(df: DataFrame, bin_: Column, *within: str, weight: Column | None =
     return df.groupBy(*within, bin_.alias("bin")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
 
+def bound_histogram(reads: DataFrame, z: str, conc: float, beta: float = 0.0, background: DataFrame | None = None, low: float = -15.0, high: float = 3.0, bins: int = 18) -> DataFrame:
+    """(bin, bound, share) over log10 bins of a read's affinity: the occupancy-weighted share of bound reads at a concentration, and that with beta times a background(bin, share) added, 1 in sum again.
+
+    Affinities beyond the ends, or not above 0, are in no bin; bins without reads have 0.
+    """
+    x = F.floor((F.log10(F.col(z)) - low) / ((high - low) / bins)).cast("int")
+    y = F.col(z) * conc
+    sums = reads.where(F.col(z) > 0).groupBy(x.alias("bin")).agg(F.sum(y / (y + 1)).alias("psi")).where(F.col("bin").between(0, bins - 1))
+    rows = reads.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(sums, "bin", "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
+    rows = rows.crossJoin(F.broadcast(sums.agg(F.sum("psi").alias("_all")))).withColumn("bound", F.col("psi") / F.col("_all"))  # one row
+    if background is not None:
+        rows = rows.join(background.select("bin", (F.col("share") * beta).alias("_b")), "bin", "left")
+    else:
+        rows = rows.withColumn("_b", F.lit(0.0))
+    rows = rows.withColumn("_v", F.col("bound") + F.coalesce("_b", F.lit(0.0)))
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("_v").alias("_w")))).select("bin", "bound", (F.col("_v") / F.col("_w")).alias("share"))  # one row
+
+
 def density(hist: DataFrame, width: float, *within: str) -> DataFrame:
     """Adds density: the histogram over its trapezoidal integral."""
     w = Window.partitionBy(*within)

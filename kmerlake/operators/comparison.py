@@ -38,6 +38,12 @@ def run_differences(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.join(right, list(keys)).select(*keys, F.log2(F.col("error") / F.col("_error")).alias("log_error"), (F.col("corr") - F.col("_corr")).alias("d_corr"))
 
 
+def structure_effect(fits: DataFrame, *within: str) -> DataFrame:
+    """(within, slope, intercept, r2, n) of fits(kd_plain, kd_structure, gc): how the log2 ratio of the dissociation constants with and without structure goes with a motif's mean GC preference."""
+    rows = fits.where("kd_plain > 0 and kd_structure > 0 and gc is not null").withColumn("_y", F.log2(F.col("kd_structure") / F.col("kd_plain")))
+    return rows.groupBy(*within).agg(F.regr_slope("_y", "gc").alias("slope"), F.regr_intercept("_y", "gc").alias("intercept"), F.regr_r2("_y", "gc").alias("r2"), F.count("*").alias("n"))
+
+
 def labelled_runs(**runs: DataFrame) -> DataFrame:
     """The tables of several runs below each other, with the run's name."""
     out = None

@@ -193,6 +193,15 @@ def energies_of(reads: DataFrame, kmer: str, energy: str = "e") -> DataFrame:
     return reads.select("conc", "read_id", F.explode(own).alias("h")).select("conc", "read_id", "h.pos", "h.e")
 
 
+def energies_of_best(reads: DataFrame, ranking: list[str], energy: str = "e") -> DataFrame:
+    """(kmer, rank, conc, read_id, pos, e) for every occurrence of each of the k-mers, all of one length; rank from 1."""
+    k = len(ranking[0])
+    order = F.array(*map(F.lit, ranking))
+    own = F.transform(sq.kmers("seq", k), lambda x, i: F.struct(x.alias("kmer"), F.array_position(order, x).alias("rank"), i.alias("pos"), F.get(F.col(energy), i).alias("e")))
+    rows = reads.select("conc", "read_id", F.explode(F.filter(own, lambda h: (h["rank"] > 0) & h["e"].isNotNull())).alias("h"))
+    return rows.select("h.kmer", F.col("h.rank").cast("int").alias("rank"), "conc", "read_id", "h.pos", "h.e")
+
+
 def nucleotide_entropy_by_position(reads: DataFrame) -> DataFrame:
     """(conc, pos, entropy) in bits."""
     p = position_profile(reads, 1).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("conc", "pos")))

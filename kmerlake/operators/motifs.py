@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
@@ -100,15 +100,22 @@ class Motif:
         return replace(self, matrix=self.matrix[i : i + width])
 
     def padded(self, width: int) -> "Motif":
-        """Indifferent positions added on the side of the more discriminating end, in turn where both are equal."""
-        m, left_next = self.matrix, True
-        while len(m) < width:
+        """Indifferent positions added on the side of the more discriminating end; where both are equal, every second one on the left."""
+        m = self.matrix
+        for i in range(width - self.width):
             d = (m.max(axis=1) / m.sum(axis=1) - 0.25) / 0.75
-            left = d[0] > d[-1] or (d[0] == d[-1] and left_next)
-            left_next = not left
+            left = d[0] > d[-1] or (d[0] == d[-1] and i % 2 == 1)
             m = np.vstack([np.ones(4), m] if left else [m, np.ones(4)])
         return replace(self, matrix=m)
 
+    def legacy_text(self, seed: str = "", kmers: list[str] | None = None) -> str:
+        """The older form: affinity and width in the head, a discrimination behind each row, and where the motif came from; parse_motifs() reads it."""
+        rows = ["\t".join([*(f"{x:.6e}" for x in row), consensus_letter(row), str(d)]) for row, d in zip(self.matrix, self.discrimination)]
+        tail = [f"seeded from '{seed}'"] if seed else []
+        if kmers:
+            tail.append(f"built from {len(kmers)} kmers '{','.join(sorted(kmers))}'")
+        return "\n".join([f"PSAM A0={self.a0} n={self.width}", *rows, *tail])
+
     def text(self) -> str:
         extra = "".join(f" {k}={v}" for k, v in self.extra.items())
         head = f"PSAM {self.name} A0={self.a0} n={self.width} acc_k={self.acc_k} acc_shift={self.acc_shift} acc_scale={self.acc_scale}{extra}"
@@ -138,7 +145,7 @@ def parse_motifs(text: str, most: int | None = None, by_affinity: bool = False)
                     attrs[key] = float(value)
                 else:
                     name = key
-        elif line.strip() and not line.startswith(("#", "seeded")):
+        elif line.strip() and not line.startswith(("#", "seeded", "built")):
             rows.append([float(x) for x in line.split("\t")[:4]])
     close()
     if by_affinity:
@@ -165,6 +172,23 @@ def cell_statistics(cell: DataFrame) -> DataFrame:
     return by.join(ic, ["motif_id", "pos"]).select("motif_id", "pos", "discrimination", "information", "best")
 
 
+def alignment_scores(cell: DataFrame, k: int = 8) -> DataFrame:
+    """(motif_id, score, best_window, total, effective_width) of cell(motif_id, pos, nt, aff): mean of the letters' greatest values, greatest sum of k neighbouring positions' greatest values, their sum over all positions, and that sum over the greatest. best_window is null for a motif of fewer positions."""
+    position = cell.groupBy("motif_id", "pos").agg(F.max("aff").alias("m"))
+    w = Window.partitionBy("motif_id").orderBy("pos").rowsBetween(0, k - 1)
+    position = position.withColumn("_s", F.when(F.count("*").over(w) == k, F.sum("m").over(w)))
+    by_position = position.groupBy("motif_id").agg(F.max("_s").alias("best_window"), F.sum("m").alias("total"), (F.sum("m") / F.max("m")).alias("effective_width"))
+    letters = cell.groupBy("motif_id", "nt").agg(F.max("aff").alias("m")).groupBy("motif_id").agg(F.avg("m").alias("score"))
+    return letters.join(by_position, "motif_id").select("motif_id", "score", "best_window", "total", "effective_width")
+
+
+def masked_affinities(affinity: DataFrame, cut: float, value: str = "affinity", floor: float = LEAST) -> DataFrame:
+    """affinity with values whose deviate from the mean, in population deviations, is below the cut set to the floor; equal values are all kept."""
+    s = affinity.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_d"))
+    low = (F.col("_d") > 0) & ((F.col(value) - F.col("_m")) / F.col("_d") < cut)
+    return affinity.crossJoin(F.broadcast(s)).withColumn(value, F.when(low, F.lit(floor)).otherwise(F.col(value))).drop("_m", "_d")  # one row
+
+
 def site_weights(seq: Column, motif: Motif, acc: Column | None = None, offset: int = 0) -> Column:
     """Array with a value for each window: the product of the motif's cells, times the accessibility at the window's place plus offset (0 where there is none).
 

@@ -79,6 +79,12 @@ def chunk(reads: DataFrame, i: int, of: int, key: str = "read_id") -> DataFrame:
     return reads.where((F.col(key) >= first) & (F.col(key) < first + width))
 
 
+def subset(reads: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Reads whose keys, read_id by default, are among the rows of `wanted`; each once, however often it is named. Null keys are in none."""
+    keys = keys or ("read_id",)
+    return reads.join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def random_reads(spark: SparkSession, n: int, length: int, seed: int = 0, transition: dict[str, list[float]] | None = None, partitions: int | None = None) -> DataFrame:
     """(read_id, seq) of uniform letters, or of a Markov chain with the given next-letter probabilities (start uniform)."""
     ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)

@@ -33,6 +33,11 @@ def read_kmer_matrix(spark: SparkSession, path: str) -> DataFrame:
     return wide.select(F.col(f"`{key}`").alias("kmer"), rows.alias("x")).select("x.conc", "kmer", "x.value", "x.err").orderBy("kmer", "conc")
 
 
+def write_kmer_values(values: DataFrame, path: str, *columns: str) -> None:
+    """A tab-separated table of k-mers and their values, such as predicted enrichments or inverse dissociation constants, in order of the k-mer. 4**k rows."""
+    values.select("kmer", *columns).repartitionByRange(1, "kmer").sortWithinPartitions("kmer").write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
 def counts_matrix(counts: DataFrame, concs: list[float]) -> DataFrame:
     """A row for each k-mer with its count at each concentration."""
     return counts.groupBy("kmer").pivot("conc", concs).agg(F.sum("n"))

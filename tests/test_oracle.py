@@ -8,6 +8,7 @@ import pytest
 
 import kmerlake.plans.comparing
 import kmerlake.plans.counting
+import kmerlake.plans.explaining
 import kmerlake.plans.inference
 import kmerlake.plans.storing
 import kmerlake.plans.modelling
