@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kmerlake.operators import comparison as cp
+from kmerlake.operators import counts as kc
 from kmerlake.operators import metrics as mt
 from kmerlake.operators import motifs as mo
 from kmerlake.operators import tokens as tk
-from kmerlake.plans.base import domain, query, r_of, reads, rounded, table
+from kmerlake.plans.base import READS, domain, km, query, r_of, reads, rounded, table
 from kmerlake.plans.modelling import MOTIF, product
 
 ERRORS = "o AS (SELECT o_custkey % 50 AS rbp, o_orderpriority AS p, avg(o_totalprice)::DOUBLE AS error, corr(o_totalprice, o_orderkey)::DOUBLE AS corr FROM orders GROUP BY ALL)"
@@ -51,14 +52,21 @@ def _(spark, d):
 AFF = f"{domain(5)}, a AS (SELECT kmer, {product(MOTIF, 'kmer', '1')} * 0.02::DOUBLE * 50 AS b FROM dom)"
 
 
-@query("neighbour_occupancy", f"""WITH {AFF}, l(nt) AS (VALUES ('A'), ('C'), ('G'), ('U')),
-n AS (SELECT kmer, b, substring(kmer, 2, 4) || nt AS beside FROM a CROSS JOIN l UNION ALL SELECT kmer, b, nt || substring(kmer, 1, 4) FROM a CROSS JOIN l)
-SELECT n.kmer, round(sum(0.25 * (n.b + a.b) / (n.b + a.b + 1)) / 2 / 1024, 9) AS p FROM n JOIN a ON a.kmer = n.beside GROUP BY n.kmer""")
+@query("neighbour_occupancy", f"""WITH {READS}, {km(5)}, {km(1, name='km1')}, {AFF}, f AS (SELECT kmer, count(*) / (SELECT count(*) FROM km WHERE conc = 0)::DOUBLE AS p0 FROM km WHERE conc = 0 GROUP BY kmer),
+l AS (SELECT kmer AS nt, count(*) / (SELECT count(*) FROM km1 WHERE conc = 0)::DOUBLE AS q FROM km1 WHERE conc = 0 GROUP BY kmer),
+n AS (SELECT kmer, b, q, substring(kmer, 2, 4) || nt AS beside FROM a CROSS JOIN l UNION ALL SELECT kmer, b, q, nt || substring(kmer, 1, 4) FROM a CROSS JOIN l),
+s AS (SELECT n.kmer, sum(q * (n.b + a.b) / (n.b + a.b + 1)) / 2 AS s FROM n JOIN a ON a.kmer = n.beside GROUP BY n.kmer)
+SELECT kmer, round(p0 * s, 9) AS p FROM s JOIN f USING (kmer)""")
 def _(spark, d):
+    """Chance that a k-mer of the input is there and bound, alone or through the one beside it."""
     b = mo.kmer_affinities(spark, MOTIF).select("kmer", (F.col("affinity") * 50).alias("b"))
-    f = tk.kmer_domain(spark, 5).select("kmer", F.lit(1 / 1024).alias("p0"))
-    letters = spark.createDataFrame([(x, 0.25) for x in "ACGU"], "nt string, q double")
-    return rounded(cp.neighbour_occupancy(b, f, letters, 5), "p", digits=9)
+    control = reads(spark, d).where("conc = 0")
+
+    def share(k: int, name: str, value: str):
+        n = kc.kmer_counts(control, k, False)
+        return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select(F.col("kmer").alias(name), (F.col("n") / F.col("t")).alias(value))  # one row
+
+    return rounded(cp.neighbour_occupancy(b, share(5, "kmer", "p0"), share(1, "nt", "q"), 5), "p", digits=9)
 
 
 @query("complementarity_check", f"""WITH {r_of(4)}, e AS (SELECT DISTINCT kmer, ((instr('ACGU', substring(kmer, 1, 1)) * 7 + instr('ACGU', substring(kmer, 3, 1)) * 3) % 11)::DOUBLE AS dg FROM r),

@@ -196,9 +196,20 @@ def _(spark, d):
 KIDX = " + ".join(f"(instr('ACGU', substring(kmer, {i}, 1)) - 1) * {4 ** (6 - i)}" for i in range(1, 7))
 
 
-@query("kmer_domain", f"WITH {domain(6)} SELECT kmer, ({KIDX})::BIGINT AS kidx FROM dom")
+def seen(spark, d, k: int):
+    """(kmer, n): the k-mers of all reads."""
+    return kc.kmer_counts(reads(spark, d), k, False).groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def seen_sql(k: int) -> str:
+    return f"{READS}, {km(k)}, seen AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer)"
+
+
+@query("kmer_domain", f"WITH {full(6)} SELECT conc, kmer, ({KIDX})::BIGINT AS kidx, n FROM full_counts")
 def _(spark, d):
-    return tk.kmer_domain(spark, 6)
+    """Every 6-mer with its number, and how often each sample has it."""
+    counts = tk.dense(kc.kmer_counts(reads(spark, d), 6), 6)
+    return counts.join(tk.kmer_domain(spark, 6), "kmer").select("conc", "kmer", "kidx", "n")
 
 
 @query("kmer_index", f"WITH {READS}, {km(6)} SELECT kmer, ({KIDX})::BIGINT AS kidx, count(*) AS n FROM km GROUP BY ALL")
@@ -206,32 +217,39 @@ def _(spark, d):
     return tk.kmer_positions(reads(spark, d), 6).groupBy("kmer", sq.kmer_index("kmer").alias("kidx")).agg(F.count("*").alias("n"))
 
 
-@query("excluded_kmers", f"WITH {domain(5)} SELECT kmer FROM dom WHERE NOT (contains(kmer, 'UUU') OR contains(kmer, 'GCA'))")
+@query("excluded_kmers", f"WITH {seen_sql(5)} SELECT kmer, n FROM seen WHERE NOT (contains(kmer, 'UUU') OR contains(kmer, 'GCA'))")
 def _(spark, d):
     banned = spark.createDataFrame([("UUU",), ("GCA",)], "core string")
-    return st.excluded(tk.kmer_domain(spark, 5).select("kmer"), banned, 3)
+    return st.excluded(seen(spark, d, 5), banned, 3)
 
 
-@query("containing_kmers", f"WITH {domain(5)} SELECT kmer FROM dom WHERE contains(kmer, 'UUU') OR contains(kmer, 'GCA')")
+@query("containing_kmers", f"WITH {seen_sql(5)} SELECT kmer, n FROM seen WHERE contains(kmer, 'UUU') OR contains(kmer, 'GCA')")
 def _(spark, d):
     cores = spark.createDataFrame([("UUU",), ("GCA",)], "core string")
-    return st.containing(tk.kmer_domain(spark, 5).select("kmer"), cores, 3)
+    return st.containing(seen(spark, d, 5), cores, 3)
 
 
-@query("kmer_neighbourhood", f"WITH {domain(3)} SELECT a.kmer, b.kmer AS variant FROM dom a CROSS JOIN dom b WHERE hamming(a.kmer, b.kmer) <= 1")
+@query("kmer_neighbourhood", f"WITH {seen_sql(4)}, {domain(4)} SELECT a.kmer, b.kmer AS variant, coalesce(v.n, 0) AS n FROM seen a JOIN dom b ON hamming(a.kmer, b.kmer) <= 1 LEFT JOIN seen v ON v.kmer = b.kmer")
 def _(spark, d):
-    return st.neighbourhood(tk.kmer_domain(spark, 3).select("kmer"), 3)
+    """Each k-mer of the reads with its single substitutions, and how often these are there."""
+    n = seen(spark, d, 4)
+    return st.neighbourhood(n, 4).join(n.withColumnRenamed("kmer", "variant"), "variant", "left").select("kmer", "variant", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("kmer_extensions", f"WITH {domain(3)}, n(x) AS (VALUES ('A'), ('C'), ('G'), ('U')) SELECT kmer, 'left' AS side, x || kmer AS extended FROM dom CROSS JOIN n UNION ALL SELECT kmer, 'right', kmer || x FROM dom CROSS JOIN n")
+@query("kmer_extensions", f"""WITH {seen_sql(5)}, {km(6, name='km6')}, n6 AS (SELECT kmer, count(*) AS n FROM km6 GROUP BY kmer), x(x) AS (VALUES ('A'), ('C'), ('G'), ('U')),
+e AS (SELECT kmer, 'left' AS side, x || kmer AS extended FROM seen CROSS JOIN x UNION ALL SELECT kmer, 'right', kmer || x FROM seen CROSS JOIN x) SELECT e.kmer, side, extended, coalesce(n6.n, 0) AS n FROM e LEFT JOIN n6 ON n6.kmer = extended""")
 def _(spark, d):
-    return st.extensions(tk.kmer_domain(spark, 3).select("kmer"))
+    """Each 5-mer of the reads with its extensions to 6 letters, and how often these are there."""
+    longer = seen(spark, d, 6).withColumnRenamed("kmer", "extended")
+    return st.extensions(seen(spark, d, 5)).join(longer, "extended", "left").select("kmer", "side", "extended", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("shifted_neighbours", f"""WITH {domain(4)}, {domain(1, 'e')} SELECT dom.kmer, -1 AS shift, e.kmer || substring(dom.kmer, 1, 3) AS neighbour, 0.5::DOUBLE AS weight FROM dom CROSS JOIN e
-UNION ALL SELECT dom.kmer, 1, substring(dom.kmer, 2, 3) || e.kmer, 0.5::DOUBLE FROM dom CROSS JOIN e""")
+@query("shifted_neighbours", f"""WITH {seen_sql(4)}, {domain(1, 'e')}, s AS (SELECT seen.kmer, -1 AS shift, e.kmer || substring(seen.kmer, 1, 3) AS neighbour, 0.5::DOUBLE AS weight FROM seen CROSS JOIN e
+UNION ALL SELECT seen.kmer, 1, substring(seen.kmer, 2, 3) || e.kmer, 0.5::DOUBLE FROM seen CROSS JOIN e) SELECT s.*, coalesce(v.n, 0) AS n FROM s LEFT JOIN seen v ON v.kmer = neighbour""")
 def _(spark, d):
-    return st.shifted_neighbours(tk.kmer_domain(spark, 4).select("kmer"), 4)
+    """Each k-mer of the reads with those that overlap it a base away, and how often these are there."""
+    n = seen(spark, d, 4)
+    return st.shifted_neighbours(n, 4).join(n.withColumnRenamed("kmer", "neighbour"), "neighbour", "left").select("kmer", "shift", "neighbour", "weight", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 GC = "(length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')))"

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
+from kmerlake.operators import counts as kc
 from kmerlake.operators import fit as ft
 from kmerlake.operators import footprint as fp
 from kmerlake.operators import metrics as mt
@@ -62,14 +63,18 @@ def _(spark, d):
 KMER_P = product(MOTIF, "kmer", "1")
 
 
-@query("kmer_affinities", f"WITH {domain(5)} SELECT kmer, round(greatest({KMER_P} * 0.02::DOUBLE, 1e-6::DOUBLE), 12) AS affinity FROM dom")
+@query("kmer_affinities", f"WITH {READS}, {km(5)}, s AS (SELECT conc, kmer, count(*) AS n FROM km GROUP BY ALL) SELECT conc, kmer, n, round(greatest({KMER_P} * 0.02::DOUBLE, 1e-6::DOUBLE), 12) AS affinity FROM s")
 def _(spark, d):
-    return rounded(mo.kmer_affinities(spark, MOTIF, 1e-6), "affinity", digits=12)
+    """Affinities of each sample's k-mers."""
+    n = kc.kmer_counts(reads(spark, d), 5, False)
+    return rounded(n.join(mo.kmer_affinities(spark, MOTIF, 1e-6), "kmer").select("conc", "kmer", "n", "affinity"), "affinity", digits=12)
 
 
-@query("top_motif_kmers", f"WITH {domain(5)} SELECT kmer, round({KMER_P} * 0.02::DOUBLE, 12) AS affinity FROM dom ORDER BY 2 DESC, 1 LIMIT 20")
+@query("top_motif_kmers", f"WITH {READS}, {km(5)}, s AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer) SELECT kmer, n, round({KMER_P} * 0.02::DOUBLE, 12) AS affinity FROM s ORDER BY 3 DESC, 1 LIMIT 20")
 def _(spark, d):
-    return rounded(mo.kmer_affinities(spark, MOTIF), "affinity", digits=12).orderBy(F.desc("affinity"), "kmer").limit(20)
+    """The k-mers of the reads with the greatest affinities."""
+    n = kc.kmer_counts(reads(spark, d), 5, False).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return rounded(n.join(mo.kmer_affinities(spark, MOTIF), "kmer").select("kmer", "n", "affinity"), "affinity", digits=12).orderBy(F.desc("affinity"), "kmer").limit(20)
 
 
 @query("single_protein_sum", f"WITH {READS}, {km(5)} SELECT conc, read_id, round(sum({KMER_P} * 0.02::DOUBLE * {ACC}), 9) AS z FROM km GROUP BY conc, read_id")
@@ -82,9 +87,16 @@ def _(spark, d):
     return rounded(md.site_correlation(reads(spark, d), MOTIF, OTHER), "s", digits=4)
 
 
-@query("psam_statistics", "WITH c(pos, nt, aff) AS (VALUES " + ", ".join(f"({p}, '{nt}', {x!r}::DOUBLE)" for p, row in enumerate(MOTIF.matrix.tolist()) for nt, x in zip("ACGU", row)) + "), t AS (SELECT *, sum(aff) OVER (PARTITION BY pos) AS s FROM c) SELECT 0 AS motif_id, pos, round((max(aff) / any_value(s) - 0.25) / 0.75, 6) AS discrimination, round(2 + sum(aff / s * log2(aff / s)), 6) AS information, arg_max(nt, aff) AS best FROM t GROUP BY pos")
+@query("psam_statistics", f"""WITH {READS}, {km(1)}, n AS (SELECT conc::INTEGER AS motif_id, pos, kmer AS nt, count(*) AS n FROM km GROUP BY ALL), c AS (SELECT motif_id, pos, nt, n / max(n) OVER (PARTITION BY motif_id)::DOUBLE AS aff FROM n),
+t AS (SELECT *, sum(aff) OVER (PARTITION BY motif_id, pos) AS s FROM c)
+SELECT motif_id, pos::INTEGER AS pos, round((max(aff) / any_value(s) - 0.25) / 0.75, 6) AS discrimination, round(2 + sum(aff / s * log2(aff / s)), 6) AS information, round(max(aff), 6) AS greatest FROM t GROUP BY motif_id, pos""")
 def _(spark, d):
-    return rounded(mo.cell_statistics(mo.to_tables(spark, [MOTIF])[1]), "discrimination", "information")
+    """Discrimination and information of the letters at each position of each sample's reads, taken as a motif."""
+    n = kc.position_profile(reads(spark, d), 1).select(F.col("conc").cast("int").alias("motif_id"), F.col("pos").cast("int").alias("pos"), F.col("kmer").alias("nt"), "n")
+    top = n.groupBy("motif_id").agg(F.max("n").alias("t"))
+    cell = n.join(F.broadcast(top), "motif_id").select("motif_id", "pos", "nt", (F.col("n") / F.col("t")).alias("aff"))
+    greatest = cell.groupBy("motif_id", "pos").agg(F.max("aff").alias("greatest"))
+    return rounded(mo.cell_statistics(cell).drop("best").join(greatest, ["motif_id", "pos"]), "discrimination", "information", "greatest")
 
 
 @query("footprint", f"""WITH {READS}, {km(3)}, a AS (SELECT conc, read_id, pos, {ACC} AS acc FROM km), {sites(MOTIF)}
@@ -121,13 +133,16 @@ def _(spark, d):
 
 @query("partial_affinities")
 def _(spark, d):
-    """Affinities of short sequences that a motif may overhang."""
-    return rounded(mo.partial_affinities(tk.kmer_domain(spark, 4).select(F.col("kmer").alias("seq")), [MOTIF, OTHER]), "affinity", digits=9)
+    """Affinities of the reads' 4-mers, which a motif may overhang."""
+    short = kc.kmer_counts(reads(spark, d), 4, False).select(F.col("kmer").alias("seq")).distinct()
+    return rounded(mo.partial_affinities(short, [MOTIF, OTHER]), "affinity", digits=9)
 
 
 @query("gapless_score")
 def _(spark, d):
-    return tk.kmer_domain(spark, 4).select("kmer", F.round(mo.gapless_score(F.col("kmer"), MOTIF, multiply=True), 9).alias("score"))
+    """Best scores of the reads' 4-mers within a motif, with their counts."""
+    n = kc.kmer_counts(reads(spark, d), 4, False).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return n.select("kmer", "n", F.round(mo.gapless_score(F.col("kmer"), MOTIF, multiply=True), 9).alias("score"))
 
 
 @query("ska_weights")
