@@ -202,6 +202,12 @@ class Shard:
         ok = (seat >= 0) & (a["seat_print"][seat] == _print(keys)) & (a["key"][row] == doc_id) & (a["null"][row] == null) & (a["nth"][row] == nth)
         return np.where(ok, a["seat_offset"][seat], -1), np.where(ok, a["seat_count"][seat], 0)
 
+    def rows_of(self, doc_id: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """The row in the shard of each key that find() finds; any row for others."""
+        if not self.about["docs"]:
+            return np.zeros(len(doc_id), np.int64)
+        return self.arrays["seat_row"][self.mph.seats(_key(doc_id, null, nth))].astype(np.int64)
+
     def ids(self, offset: int, count: int) -> np.ndarray:
         w = self.kind.itemsize
         return np.frombuffer(self.source.read_at(count * w, offset * w), self.kind)
@@ -217,15 +223,17 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write every row's ids, end_id appended, as shards under path, in ascending order of the id (null first; rows of one id by their text's hash).
 
-    Returns the manifest (shard, file, docs, ids, last, start): last is the greatest id of a shard, null without any;
-    start counts the ids of all shards before. An empty table gives shards without documents. Null texts count
+    Returns the manifest (shard, file, docs, ids, first, last, nulls, tail, start, row, carry): first and last are a
+    shard's least and greatest id, null without any; nulls and tail count its rows of null id and of its last one; start
+    and row count the ids and the rows of all shards before, carry those of them that have the shard's first id, null
+    or not. A shard numbers the rows of an id from 0, so with carry they are numbered through all shards. An empty table gives shards without documents. Null texts count
     as empty. Each shard is written to a name of its own attempt, then renamed, so a repeated task leaves one whole file.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // shard_rows))
     dealt = base.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("last", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("nulls", pa.int64()), ("tail", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -249,67 +257,101 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
             fs.move(draft, f"{root}/{name}")
         else:
             fs.delete_file(draft)
-        last = writer.id[-1] if writer.id and not writer.null[-1] else None
-        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((shard, f"{path}/{name}", len(writer.id), writer.n, last), schema)], schema=schema)
+        nulls = sum(writer.null)
+        own = writer.id[nulls:]
+        first, last = (own[0], own[-1]) if own else (None, None)
+        tail = own.count(last) if own else nulls
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip((shard, f"{path}/{name}", len(writer.id), writer.n, first, last, nulls, tail), schema)], schema=schema)
 
-    written = cut(dealt.mapInArrow(work, "shard int, file string, docs long, ids long, last long"))
+    written = cut(dealt.mapInArrow(work, "shard int, file string, docs long, ids long, first long, last long, nulls long, tail long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    return written.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))
+    count = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long"))
+    manifest = written.withColumn("start", count("ids")).withColumn("row", count("docs"))
+    # The row at which the run of a shard's last id begins; the earliest of them is where the id begins.
+    begins = manifest.where("docs > 0").groupBy(F.col("last").alias("_last")).agg(F.min(F.col("row") + F.col("docs") - F.col("tail")).alias("_begin"))
+    begun = F.when(F.col("nulls") > 0, F.lit(None).cast("long")).otherwise(F.col("first")).eqNullSafe(F.col("_last")) & (F.col("docs") > 0)
+    return manifest.join(F.broadcast(begins), begun, "left").withColumn("carry", F.greatest(F.lit(0), F.coalesce(F.col("row") - F.col("_begin"), F.lit(0)))).drop("_last", "_begin")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, nth, start, n_tokens, ids_crc32) of every document in the files, each found through its shard's index."""
-    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """(doc_id, nth, start, n_tokens, ids_crc32) of every document in the files, each found through its shard's index. nth numbers the documents of an id, null included, from 0 through all shards."""
+    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     spark = manifest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for uri, start, carry in zip(*(c.to_pylist() for c in batch.columns)):
                     fs, place = _open(uri)
                     with fs.open_input_file(place) as source:
                         shard = Shard(source)
                         a = shard.arrays
                         offset, count = shard.find(a["key"], a["null"], a["nth"])
+                        first = (a["null"] == a["null"][:1]) & (a["key"] == a["key"][:1])
+                        nth = a["nth"].astype(np.int64) + np.where(first, carry, 0)
                         for k in range(len(offset)):
                             ids = shard.ids(int(offset[k]), int(count[k]))
-                            yield None if a["null"][k] else int(a["key"][k]), int(a["nth"][k]), start + int(offset[k]), int(count[k]), zlib.crc32(ids.astype("<u4").tobytes())
+                            yield None if a["null"][k] else int(a["key"][k]), int(nth[k]), start + int(offset[k]), int(count[k]), zlib.crc32(ids.astype("<u4").tobytes())
 
         yield from emit(schema, found())
 
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(work, "doc_id long, nth int, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start", "carry").repartition(n, "file").mapInArrow(work, "doc_id long, nth long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of each key's first document, by one index probe in the one shard whose range has the key; keys that no shard holds are left out, null keys too.
+def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id", nth_col: str | None = None) -> DataFrame:
+    """(doc_id, ids) of the first document of each key's id, or with nth_col (doc_id, nth, ids) of the one that it numbers. Keys that no shard holds are left out; a null id is a key like any other, a null number none.
 
-    Keys are dealt by range, so a task opens only the shards of its range.
+    One index probe in the shard where the id begins finds the first; a later one is that many rows further on, in that
+    shard or in one that its row number tells. Keys are dealt by range, so a task opens only the shards of its range.
     """
-    shards = manifest.where("last is not null").select("last", "file").orderBy("shard").collect()  # one row for each shard
-    lasts, files = np.array([r["last"] for r in shards], np.int64), [r["file"] for r in shards]
-    wanted = keys.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    wanted = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    shards = manifest.where("docs > 0").select("file", "last", "row").orderBy("shard").collect()  # one row for each shard
+    files, rows = [r["file"] for r in shards], np.array([r["row"] for r in shards], np.int64)
+    dated = np.array([i for i, r in enumerate(shards) if r["last"] is not None] + [len(shards)], np.int64)
+    lasts = np.array([r["last"] for r in shards if r["last"] is not None], np.int64)
+    nth = F.col(nth_col).cast("long") if nth_col else F.lit(0).cast("long")
+    wanted = keys.select(F.col(id_col).cast("long").alias("doc_id"), nth.alias("nth")).where("nth >= 0").distinct()
+    wanted = wanted.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth")
+    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def probe(file: int, key: np.ndarray, null: np.ndarray, nth: np.ndarray):
+            fs, name = _open(files[file])
+            with fs.open_input_file(name) as source:
+                shard = Shard(source)
+                offset, count = shard.find(key, null, nth)
+                place = shard.rows_of(key, null, nth)
+                return np.where(offset >= 0, rows[file] + place, -1), [shard.ids(int(o), int(c)).tolist() if o >= 0 else None for o, c in zip(offset, count)]
+
         def found():
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                place = np.searchsorted(lasts, ids)  # an id over two shards begins in the former
-                for at in np.unique(place[place < len(files)]):
-                    here = ids[place == at]
-                    zero = np.zeros(len(here), np.uint8)
-                    fs, name = _open(files[at])
-                    with fs.open_input_file(name) as source:
-                        shard = Shard(source)
-                        offset, count = shard.find(here, zero, zero)
-                        for k in np.flatnonzero(offset >= 0):
-                            yield int(here[k]), shard.ids(int(offset[k]), int(count[k])).tolist()
+                null = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                nth = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                file = np.where(null == 1, 0, dated[np.searchsorted(lasts, ids)])  # an id over several shards begins in the first
+                later = []
+                for at in np.unique(file[file < len(files)]):
+                    here = np.flatnonzero(file == at)
+                    zero = np.zeros(len(here), np.int64)
+                    row, texts = probe(at, ids[here], null[here], zero)
+                    for k, r, t in zip(here, row, texts):
+                        if r >= 0 and nth[k] == 0:
+                            yield None if null[k] else int(ids[k]), 0, t
+                        elif r >= 0:
+                            later.append((int(np.searchsorted(rows, r + nth[k], "right")) - 1, int(at), int(r), k))
+                for at in sorted({x[0] for x in later}):
+                    own = [x for x in later if x[0] == at]
+                    here = np.array([x[3] for x in own])
+                    local = np.array([nth[k] if start == at else r + nth[k] - rows[at] for _, start, r, k in own])
+                    row, texts = probe(at, ids[here], null[here], local)
+                    for k, r, t in zip(here, row, texts):
+                        if r >= 0:
+                            yield None if null[k] else int(ids[k]), int(nth[k]), t
 
         yield from emit(schema, found(), 500)
 
-    return wanted.mapInArrow(work, "doc_id long, ids array<long>")
+    out = wanted.mapInArrow(work, "doc_id long, nth long, ids array<long>")
+    return out if nth_col else out.drop("nth")
 
 
 def word_bpe_file() -> str:

@@ -395,11 +395,31 @@ def test_lookup_over_many_shards(spark):
     files = [r["file"] for r in manifest.where("docs > 0").collect()]
     assert len(files) > 10
     every = dict(tokenfiles.lookup(manifest, spark.range(-5, 1300).toDF("doc_id")).collect())
+    assert tokenfiles.lookup(manifest, spark.sql("select cast(null as long) as doc_id")).count() == 1
     assert sorted(every) == [i * 3 for i in range(400)]
     t = __import__("tokenizers").Tokenizer.from_file(tokenfiles.word_bpe_file())
     assert all(ids == [*t.encode(f"text {i // 3}", add_special_tokens=False).ids, 2] for i, ids in every.items())
 
 
+@pytest.mark.parametrize("shard_rows", [3, 20, 1000])
+def test_rows_of_an_id_are_numbered_through_all_shards(spark, shard_rows):
+    """Sixty rows of one id, twenty of none and a few others: every (doc_id, nth) is there once and found by it."""
+    texts = [(7, f"seven {i % 9} x{i}") for i in range(60)] + [(None, f"none {i}") for i in range(20)] + [(i, f"other {i}") for i in (-(1 << 63), 1, 6, 8, 8, (1 << 63) - 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    manifest = tokenfiles.write_shards(docs, tokenfiles.word_bpe_file(), common.fresh_path(spark, "t"), shard_rows=shard_rows).cache()
+    got = tokenfiles.read_shards(manifest).collect()
+    keys = {(r["doc_id"], r["nth"]) for r in got}
+    assert len(got) == len(texts) == len(keys)
+    assert keys == {(7, i) for i in range(60)} | {(None, i) for i in range(20)} | {(8, 0), (8, 1), (1, 0), (6, 0), (-(1 << 63), 0), ((1 << 63) - 1, 0)}
+    order = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["nth"]))
+    assert [r["start"] for r in order] == sorted(r["start"] for r in got)
+    wanted = spark.createDataFrame([*keys, (7, 60), (None, 20), (9, 0), (1, None), (8, -1)], "doc_id long, nth long")
+    found = {(r["doc_id"], r["nth"]): zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in tokenfiles.lookup(manifest, wanted, nth_col="nth").collect()}
+    assert found == {(r["doc_id"], r["nth"]): r["ids_crc32"] for r in got}
+    first = {r["doc_id"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in tokenfiles.lookup(manifest, wanted.select("doc_id")).collect()}
+    assert first == {r["doc_id"]: r["ids_crc32"] for r in got if r["nth"] == 0}
+
+
 def test_chance_fingerprint_gives_no_other_document(monkeypatch):
     import io
 
