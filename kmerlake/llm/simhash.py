@@ -211,8 +211,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, all columns, with one document of each component: that of the smallest id.
 
     Rows that share an id are one document, kept once (the row of the least text hash) if any of them has the
-    smallest id of its component. Of a component without ids the row of the least text hash is kept; rows with a
-    null id beside documents with an id are kept. Any other columns may have any names and types; an empty table
+    smallest id of its component. Rows with a null id go where their component has a document with an
+    id; of a component without ids the row of the least text hash is kept. Any other columns may have any names and types; an empty table
     gives an empty table.
     """
     inner, name = plain_names(docs)
@@ -235,6 +235,9 @@ def _one_of_each(docs: DataFrame, id_col: str, text_col: str, radius: int) -> Da
     if again.limit(1).count():
         repeated = kept.join(again, key == F.col("_again"), "left_semi")
         kept = kept.join(again, key == F.col("_again"), "left_anti").unionByName(single(repeated, F.col(id_col)))
+    beside = cut(linked.where("doc_id is null and component_id is not null").select(F.col("_hash").alias("_beside")).distinct())
+    if beside.limit(1).count():
+        kept = kept.join(sized(beside, 32), key.isNull() & (text_hash == F.col("_beside")), "left_anti")
     alone = cut(linked.where("doc_id is null and component_id is null").select("root", F.col("_hash").alias("_alone")).distinct())
     if alone.limit(1).count():
         least = alone.groupBy("root").agg(F.min("_alone").alias("_least"))
