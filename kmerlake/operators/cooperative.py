@@ -15,14 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerlake.functions import sequence as sq
 from kmerlake.operators.motifs import Motif
-
-_CODE = np.full(256, 4, np.uint8)
-_CODE[[65, 67, 71, 85]] = range(4)
-#: Reads worked on together; bounds the sums held.
-BLOCK = 2048
-
+from kmerlake.operators.windows import by_length, encode, products
 
 @dataclass(frozen=True)
 class Binding:
@@ -46,25 +40,6 @@ class Binding:
             raise ValueError("one free concentration a motif, and a square of weights that are not negative")
 
 
-def encode(seqs: list[str], flank: int) -> np.ndarray:
-    """Letter numbers of sequences of one length, adapters' ends before and behind; 4 for a letter other than ACGU."""
-    n = len(seqs[0])
-    own = _CODE[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8).reshape(-1, n)] if n else np.empty((len(seqs), 0), np.uint8)
-    left = _CODE[np.frombuffer(sq.ADAPTER_5[len(sq.ADAPTER_5) - flank :].encode() if flank else b"", np.uint8)]
-    right = _CODE[np.frombuffer(sq.ADAPTER_3[:flank].encode(), np.uint8)]
-    return np.hstack([np.broadcast_to(left, (len(seqs), len(left))), own, np.broadcast_to(right, (len(seqs), len(right)))])
-
-
-def affinities(codes: np.ndarray, motif: Motif) -> np.ndarray:
-    """(reads, windows) association constants of a protein's sites."""
-    n = max(0, codes.shape[1] - motif.width + 1)
-    table = np.hstack([motif.matrix, np.zeros((motif.width, 1))])
-    out = np.full((len(codes), n), float(motif.a0))
-    for d in range(motif.width):
-        out *= table[d][codes[:, d : d + n]]
-    return out
-
-
 def forward(weights: list[np.ndarray], widths: list[int], length: int, coop: np.ndarray, reach: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(log, ends): ln of the sum over placements on the first i bases, and for each protein the share of those whose last base is a site's end.
 
@@ -113,20 +88,17 @@ def occupancies(weights: list[np.ndarray], widths: list[int], length: int, coop:
     return log[:, length], out
 
 
-def _blocks(batch: pa.RecordBatch, column: int, flank: int, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, codes) of a batch's sequences of each length, in blocks; null ones count as empty."""
+def _blocks(batch: pa.RecordBatch, column: int, flank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, codes) of a batch's sequences of each length; null ones count as empty."""
     seqs = [s or "" for s in batch.column(column).to_pylist()]
-    size = np.array([len(s) for s in seqs], np.int64)
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for k in range(0, len(at), BLOCK):
-            yield at[k : k + BLOCK], encode([seqs[i] for i in at[k : k + BLOCK]], flank)
+    for at in by_length(seqs) if seqs else ():
+        yield at, encode([seqs[i] for i in at], flank)
 
 
 def _weights(codes: np.ndarray, binding: Binding, rows: np.ndarray, acc: list) -> list[np.ndarray]:
     out = []
     for a, (m, c) in enumerate(zip(binding.motifs, binding.free)):
-        x = affinities(codes, m) * c
+        x = products(codes, m) * (m.a0 * c)
         if acc:
             open_ = np.zeros_like(x)
             for r, i in enumerate(rows):
@@ -161,7 +133,7 @@ def cooperative_binding(reads: DataFrame, binding: Binding, pad: bool = True, ac
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             opened = batch.column(len(plain) + 1).to_pylist() if acc else []
-            for rows, codes in _blocks(batch, len(plain), flank, min(widths)):
+            for rows, codes in _blocks(batch, len(plain), flank):
                 length = codes.shape[1]
                 log_z, sites = occupancies(_weights(codes, binding, rows, opened), widths, length, coop, binding.reach)
                 cols = [pa.array(log_z), pa.array(-np.expm1(-log_z)), pa.array([list(v) for v in zip(*(p.sum(axis=1) for p in sites))], many)]
@@ -205,7 +177,7 @@ def approximation_error(reads: DataFrame, motif: Motif, factors: list[float] | N
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             opened = batch.column(len(plain) + 1).to_pylist() if acc else []
-            for rows, codes in _blocks(batch, len(plain), flank, motif.width):
+            for rows, codes in _blocks(batch, len(plain), flank):
                 x = _weights(codes, unit, rows, opened)[0]
                 total = x.sum(axis=1)
                 known = total > 0

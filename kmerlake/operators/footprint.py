@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.functions.energy import accessibility
-from kmerlake.operators.motifs import Motif, site_weights
+from kmerlake.operators.motifs import Motif
 from kmerlake.operators.ordering import exact_quantiles
+from kmerlake.operators.windows import by_length, encode, lists, products
 
 
 def synthetic_energies(reads: DataFrame, k: int) -> DataFrame:
@@ -38,38 +43,74 @@ def informative_reads(reads: DataFrame, z: str = "z", share: float = 1e-3) -> Da
     return reads.where(F.col(z) > cut)
 
 
+def _sums(rows: DataFrame, motif: Motif, pad: int, psi: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, columns: int) -> DataFrame:
+    """(conc, rel, i, top, low): sums over rows(conc, seq, acc, w) and their sites of weight times accessibility, and of the weight, at each place around a site; psi(site weights, accessibilities) gives further weights of a read, one a column."""
+    reach = np.arange(-pad, motif.width + pad)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[float, np.ndarray] = {}
+        for batch in batches:
+            conc, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 3))
+            seqs = [s or "" for s in batch.column(1).to_pylist()]
+            values, start, size = lists(batch.column(2))
+            for at in by_length(seqs, size) if seqs else ():
+                n, width = int(size[at[0]]), len(seqs[at[0]]) - motif.width + 1
+                if not n or width < 1:
+                    continue
+                z = products(encode([seqs[i] for i in at], 0), motif)
+                acc = values[start[at][:, None] + np.arange(n)]
+                more = np.ones((len(at), 1)) if psi is None else psi(z, acc)
+                z = z * np.nan_to_num(w[at])[:, None]
+                open_, known = np.nan_to_num(acc), (~np.isnan(acc)).astype(float)
+                for c in np.unique(conc[at]):
+                    own = totals.setdefault(float(c), np.zeros((2, columns, len(reach))))
+                    mine = conc[at] == c
+                    for k, rel in enumerate(reach):
+                        lo, hi = max(0, -rel), min(width, n - rel)
+                        if lo < hi:
+                            part = z[mine, lo:hi]
+                            own[0, :, k] += more[mine].T @ (part * open_[mine, lo + rel : hi + rel]).sum(axis=1)
+                            own[1, :, k] += more[mine].T @ (part * known[mine, lo + rel : hi + rel]).sum(axis=1)
+        for c, own in totals.items():
+            i, k = np.indices((columns, len(reach)))
+            yield pa.record_batch([pa.array(np.full(i.size, c)), pa.array(reach[k.ravel()].astype(np.int32)), pa.array(i.ravel().astype(np.int32)), pa.array(own[0].ravel()), pa.array(own[1].ravel())], names=["conc", "rel", "i", "top", "low"])
+
+    rows = rows.select(F.col("conc").cast("double"), F.col("seq").cast("string"), F.col("acc").cast("array<double>"), F.col("w").cast("double"))
+    return rows.mapInArrow(work, "conc double, rel int, i int, top double, low double").groupBy("conc", "rel", "i").agg(F.sum("top").alias("top"), F.sum("low").alias("low")).where("low > 0")
+
+
 def footprint(reads: DataFrame, motif: Motif, weight: Column | None = None, pad: int = 5) -> DataFrame:
-    """(conc, rel, acc): mean accessibility at each place from pad before a site to pad behind it, weighed by the site's affinity and the read's weight."""
-    z = site_weights(F.col("seq"), motif)
-    rows = reads.select("conc", "acc", (F.lit(1.0) if weight is None else weight).alias("w"), F.posexplode(z).alias("at", "z"))
-    rows = rows.select("conc", "acc", "at", (F.col("z") * F.col("w")).alias("zw"), F.explode(F.sequence(F.lit(-pad), F.lit(motif.width + pad - 1))).alias("rel"))
-    rows = rows.withColumn("a", F.get(F.col("acc"), F.col("at") + F.col("rel"))).where("a is not null")
-    return rows.groupBy("conc", "rel").agg((F.sum(F.col("zw") * F.col("a")) / F.sum("zw")).alias("acc"))
+    """(conc, rel, acc): mean accessibility at each place from pad before a site to pad behind it, weighed by the site's affinity and the read's weight.
+
+    A task adds up the places of its reads in arrays and returns a row for each sample and place.
+    """
+    sums = _sums(reads.select("conc", "seq", "acc", (F.lit(1.0) if weight is None else weight).alias("w")), motif, pad, None, 1)
+    return sums.select("conc", "rel", (F.col("top") / F.col("low")).alias("acc"))
 
 
 def calibrate(reads: DataFrame, motif: Motif, shifts: range, free: float, scales: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), pad: int = 5) -> DataFrame:
     """(shift, scale, error) over a grid: how far the input's footprint under predicted occupancies is from the pull-down's.
 
-    Occupancies of all grid points are columns of one pass over the input reads.
+    A read's occupancy at a grid point weighs its sites by the accessibility `shift` bases on, to the power of `scale`;
+    all grid points are columns of one pass over the input reads.
     """
     spark = reads.sparkSession
     target = footprint(reads.where("conc <> 0"), motif, pad=pad).groupBy("rel").agg(F.avg("acc").alias("seen"))
-    control = reads.where("conc = 0")
     points = [(s, a) for s in shifts for a in scales]
-    z = site_weights(F.col("seq"), motif)
-
-    def bound(shift: int, scale: float) -> Column:
-        open_ = lambda x, i: x * F.pow(F.coalesce(F.get(F.col("acc"), i + shift), F.lit(0.0)), F.lit(scale))
-        y = F.aggregate(F.transform(z, open_), F.lit(0.0), lambda t, x: t + x) * free * motif.a0
-        return y / (y + 1)
-
-    psi = [bound(s, a) for s, a in points]
-    rows = control.select("acc", F.array(*psi).alias("psi"), F.posexplode(z).alias("at", "z"))
-    rows = rows.select("acc", "psi", "at", "z", F.explode(F.sequence(F.lit(-pad), F.lit(motif.width + pad - 1))).alias("rel"))
-    rows = rows.withColumn("a", F.get(F.col("acc"), F.col("at") + F.col("rel"))).where("a is not null")
-    n = len(points)
-    sums = rows.groupBy("rel").agg(*[F.sum(F.col("psi")[i] * F.col("z") * F.col("a")).alias(f"_t{i}") for i in range(n)], *[F.sum(F.col("psi")[i] * F.col("z")).alias(f"_w{i}") for i in range(n)])
-    made = sums.select("rel", F.posexplode(F.array(*[F.col(f"_t{i}") / F.nullif(F.col(f"_w{i}"), F.lit(0.0)) for i in range(n)])).alias("point", "acc"))
+
+    def psi(z: np.ndarray, acc: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(z), len(points)))
+        for i, (shift, scale) in enumerate(points):
+            open_ = np.zeros(z.shape)
+            lo, hi = max(0, -shift), min(z.shape[1], acc.shape[1] - shift)
+            if lo < hi:
+                open_[:, lo:hi] = np.nan_to_num(acc[:, lo + shift : hi + shift])
+            y = (z * open_**scale).sum(axis=1) * (free * motif.a0)
+            out[:, i] = y / (y + 1)
+        return out
+
+    sums = _sums(reads.where("conc = 0").select("conc", "seq", "acc", F.lit(1.0).alias("w")), motif, pad, psi, len(points))
+    made = sums.select("rel", F.col("i").alias("point"), (F.col("top") / F.col("low")).alias("acc"))
     grid = spark.createDataFrame([(i, s, float(a)) for i, (s, a) in enumerate(points)], "point int, shift int, scale double")
     return made.join(F.broadcast(target), "rel").groupBy("point").agg(F.sum((F.col("acc") - F.col("seen")) ** 2).alias("error")).join(F.broadcast(grid), "point").select("shift", "scale", "error")
 

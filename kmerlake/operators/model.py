@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from kmerlake.functions import sequence as sq
 from kmerlake.operators.counts import frequencies, kmer_counts
 from kmerlake.operators.motifs import Motif, site_weights
 from kmerlake.operators.tokens import dense
+from kmerlake.operators.windows import by_length, encode, products
 
 
 def mixture_weights(motifs: list[Motif], acc: dict[tuple[int, float], Column] | None = None) -> Column:
@@ -25,9 +28,28 @@ def mixture_weights(motifs: list[Motif], acc: dict[tuple[int, float], Column] |
 
 
 def partition_function(reads: DataFrame, motifs: list[Motif], acc: dict[tuple[int, float], Column] | None = None, clip: float | None = None) -> DataFrame:
-    """reads with z: the read's clipped partition function at unit affinity."""
-    z = mixture_weights(motifs, acc)
-    return reads.withColumn("z", F.least(z, F.lit(clip)) if clip is not None else z)
+    """reads with z: the read's clipped partition function at unit affinity, null for a null sequence. Without accessibilities the windows of a batch of reads are weighed together."""
+    if acc:
+        z = mixture_weights(motifs, acc)
+        return reads.withColumn("z", F.least(z, F.lit(clip)) if clip is not None else z)
+    kept = [c for c in reads.columns if c.lower() != "z"]
+    table = reads.select(*kept, F.col("seq").cast("string").alias("_seq"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(kept)).to_pylist()
+            seqs = [s or "" for s in held]
+            z = np.zeros(len(seqs))
+            for at in by_length(seqs) if seqs else ():
+                own = [seqs[i] for i in at]
+                for m in motifs:
+                    z[at] += products(encode(own, m.width - 1), m).sum(axis=1) * (m.a0 / motifs[0].a0)
+            if clip is not None:
+                z = np.minimum(z, clip)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(z, mask=np.array([s is None for s in held], bool))], names=[*kept, "z"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*kept).schema]
+    return table.mapInArrow(work, ", ".join([*kinds, "z double"]))
 
 
 def best_site(sequences: DataFrame, motif: Motif) -> DataFrame:

@@ -147,7 +147,7 @@ def _(spark, d):
 
 @query("ska_weights")
 def _(spark, d):
-    return rounded(md.ska_weights(reads(spark, d), 4, 2), "weight")
+    return rounded(md.ska_weights(reads(spark, d), 4), "weight")
 
 
 @query("free_protein")
@@ -166,7 +166,7 @@ def _(spark, d):
 
 @query("footprint_grid")
 def _(spark, d):
-    return rounded(fp.calibrate(folded(spark, d, 3), MOTIF, range(0, 2), 10.0, (0.0, 0.5, 1.0)), "error", digits=9)
+    return rounded(fp.calibrate(folded(spark, d, 3), MOTIF, range(-1, 3), 10.0), "error", digits=9)
 
 
 @query("model_descent")
