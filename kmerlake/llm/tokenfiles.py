@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -38,6 +40,33 @@ _PART = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
 _GOLD = 0x9E3779B97F4A7C15
 
 
+#: Steps that leave a word of small ASCII letters as it is and in one piece; fixed values of the format.
+_HARMLESS = {"Sequence", "NFC", "NFKC", "Lowercase", "Replace", "Split", "ByteLevel"}
+_LETTER_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _bare(config: dict):
+    """The file's model without the steps before it, for words of small ASCII letters; None unless these steps leave such words alone."""
+
+    def steps(part: dict | None) -> list[dict]:
+        own = (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or []
+        return [part, *(x for sub in own for x in steps(sub))] if part else []
+
+    found = steps(config.get("normalizer")) + steps(config.get("pre_tokenizer"))
+    alone = all(
+        x["type"] in _HARMLESS
+        and (x["type"] != "Replace" or x["pattern"] == {"Regex": "\\s+"})
+        and (x["type"] != "Split" or x["pattern"] == {"Regex": _LETTER_RUNS} and x["invert"] and x["behavior"] == "Removed")
+        and (x["type"] != "ByteLevel" or not x["add_prefix_space"] and not x.get("use_regex", True))
+        for x in found
+    )
+    if not alone or not any(x["type"] == "Split" for x in found) or config["model"]["type"] != "BPE":
+        return None
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(json.dumps({**config, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space; ids of each distinct word are made once and remembered.
 
@@ -51,7 +80,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            kinds = json.dumps(json.load(f).get("normalizer") or {})
+            config = json.load(f)
+        kinds = json.dumps(config.get("normalizer") or {})
+        self.bare = _bare(config)
         self.lower = '"Lowercase"' in kinds
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -78,11 +109,16 @@ class WordEncoder:
                 ask.update(p for p in m.groups() if p not in self.known)
             else:
                 ask.add(w)
-        asked = list(ask)
-        for at in range(0, len(asked), 20_000):
-            part = asked[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        plain = [w for w in ask if w.isascii() and w.isalpha() and w.islower()] if self.bare else []
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for tokenizer, asked in ((self.bare, plain), (self.tokenizer, list(ask.difference(plain)))):
+            for at in range(0, len(asked), 20_000):
+                part = asked[at : at + 20_000]
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    ids = array(code, e.ids)
+                    if sys.byteorder == "big":
+                        ids.byteswap()
+                    self.known[w] = ids.tobytes()
         for w, (a, b) in split.items():
             self.known[w] = self.known[a] + self.known[b]
 
