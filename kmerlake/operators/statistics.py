@@ -44,8 +44,9 @@ def mann_whitney(df: DataFrame, x: str, flag: str) -> DataFrame:
     """(u, n1, n0, z): U of the flagged rows against the others, and its normal deviate without a tie correction."""
     one, none = F.col(flag).cast("long"), (~F.col(flag)).cast("long")
     s = below(df, x, n1=one, n0=none).agg(F.sum(F.col("n1") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("r1"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    return s.select(u.alias("u"), "n1", "n0", ((u - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")  # the product of three counts leaves the range of a long at some 3 million rows
+    u = F.col("r1") - a * (a + 1) / 2
+    return s.select(u.alias("u"), "n1", "n0", ((u - a * b / 2) / F.sqrt(a * b * (a + b + 1) / 12)).alias("z"))
 
 
 def t_one_sample(df: DataFrame, x: str, mean: float = 0.0, *within: str) -> DataFrame:
