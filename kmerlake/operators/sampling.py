@@ -13,8 +13,8 @@ from kmerlake.functions.energy import energy_to_kd
 
 
 def lcg_uniform(x: str | Column, salt: int = 12345) -> Column:
-    """A uniform in [0, 1) of an integer key by one linear congruential step; the same in any SQL engine."""
-    return F.pmod(sq.col(x) * 1103515245 + salt, F.lit(2147483648)) / 2147483648.0
+    """A uniform in [0, 1) of an integer key by one linear congruential step; the same in any SQL engine. The key is taken modulo 2**31 first, which changes no step and keeps its product within a long."""
+    return F.pmod(F.pmod(sq.col(x), F.lit(2147483648)) * 1103515245 + salt, F.lit(2147483648)) / 2147483648.0
 
 
 def replicate_uniform(x: str | Column, i: int) -> Column:

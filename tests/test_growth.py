@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from kmerlake.operators import sampling as sm
 from kmerlake.operators import statistics as ss
 
 
@@ -15,3 +16,11 @@ def test_mann_whitney_of_millions_of_rows(spark):
     u = 3 * (n / 4) ** 2  # 1 above 0, 3 above 0 and 2
     assert got.u == u
     assert math.isclose(got.z, (u - n * n / 8) / math.sqrt(n * n * (n + 1) / 48), rel_tol=1e-12)
+
+
+def test_simulated_pulldown_of_large_read_ids(spark):
+    ids = [0, 5, 83_588 * 100_000, 600_000 * 100_000 + 7, 2**62 + 11]
+    rows = spark.createDataFrame([(i, "ACGU", [p, p]) for i in ids for p in (0.2, 0.7)], "read_id long, seq string, psi array<double>")
+    got = sorted((x.conc, x.read_id) for x in sm.simulated_pulldown(rows, {5.0: 0.0, 20.0: 0.1}).collect())
+    u = {i: (i * 1103515245 + 12345) % 2**31 / 2**31 for i in ids}
+    assert got == sorted((c, i) for i in ids for p in (0.2, 0.7) for c, b in ((5.0, 0.0), (20.0, 0.1)) if u[i] <= 1 - (1 - p) * (1 - b))
