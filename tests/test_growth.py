@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from kmerlake.operators import counts as kc
 from kmerlake.operators import sampling as sm
 from kmerlake.operators import statistics as ss
 
@@ -24,3 +25,11 @@ def test_simulated_pulldown_of_large_read_ids(spark):
     got = sorted((x.conc, x.read_id) for x in sm.simulated_pulldown(rows, {5.0: 0.0, 20.0: 0.1}).collect())
     u = {i: (i * 1103515245 + 12345) % 2**31 / 2**31 for i in ids}
     assert got == sorted((c, i) for i in ids for p in (0.2, 0.7) for c, b in ((5.0, 0.0), (20.0, 0.1)) if u[i] <= 1 - (1 - p) * (1 - b))
+
+
+def test_weighted_counts_of_large_read_ids(spark):
+    ids = [3, 256_409 * 100_000 + 1, 2**61 + 5]
+    rows = spark.createDataFrame([(5.0, i, "GAUU") for i in ids], "conc double, read_id long, seq string")
+    got = {x.kmer: x.w for x in kc.weighted_counts(rows, 3, sm.lcg_uniform("read_id"), pad=False).collect()}
+    w = sum((i * 1103515245 + 12345) % 2**31 / 2**31 for i in ids)
+    assert got.keys() == {"GAU", "AUU"} and all(math.isclose(x, w, rel_tol=1e-12) for x in got.values())
