@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import sequence as sq
+from kmerlake.operators.pairs import pair_counts
 from kmerlake.operators.tokens import dense, kmer_positions, read_kmers
 
 
@@ -142,10 +143,7 @@ def expected_cooccurrence(profile: DataFrame, totals_: DataFrame, wanted: list[s
 
 def core_flank_profile(reads: DataFrame, k_core: int, k_flank: int, pseudo: float = 1.0) -> DataFrame:
     """(conc, core, flank, rel, n): flanking k-mers by position relative to each core k-mer, pseudo-count added to the seen."""
-    core = F.transform(sq.kmers("seq", k_core), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    flank = F.transform(sq.kmers("seq", k_flank), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    pairs = reads.select("conc", core.alias("c"), flank.alias("f")).select("conc", "f", F.explode("c").alias("c")).select("conc", "c", F.explode("f").alias("f"))
-    return pairs.groupBy("conc", F.col("c.kmer").alias("core"), F.col("f.kmer").alias("flank"), (F.col("f.pos") - F.col("c.pos")).alias("rel")).agg((F.count("*") + pseudo).alias("n"))
+    return pair_counts(reads, k_core, k_flank).select("conc", F.col("kmer_1").alias("core"), F.col("kmer_2").alias("flank"), "rel", (F.col("n") + pseudo).alias("n"))
 
 
 def flank_profile(reads: DataFrame, core: str, k_flank: int) -> DataFrame:

@@ -12,7 +12,7 @@ from kmerlake.operators.motifs import Motif
 
 _CODE = np.full(256, 4, np.uint8)
 _CODE[[65, 67, 71, 85]] = range(4)
-#: Reads worked on together; bounds the sums held.
+#: Reads worked on together, fewer where they are longer than 64 letters; bounds the sums held.
 BLOCK = 2048
 
 
@@ -36,13 +36,14 @@ def products(codes: np.ndarray, motif: Motif) -> np.ndarray:
 
 
 def by_length(seqs: list[str], *sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers of sequences of one length, and alike in sizes too, BLOCK at a time."""
+    """Row numbers of sequences of one length, and alike in sizes too, BLOCK at a time at most."""
     keys = np.stack([np.array([len(s) for s in seqs], np.int64), *sizes])
     order = np.lexsort(keys[::-1])
     cuts = np.flatnonzero((keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)) + 1
     for at in np.split(order, cuts):
-        for k in range(0, len(at), BLOCK):
-            yield at[k : k + BLOCK]
+        step = min(BLOCK, max(1, BLOCK * 64 // max(1, len(seqs[at[0]]))))
+        for k in range(0, len(at), step):
+            yield at[k : k + step]
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,10 +1,17 @@
 """Results that only larger tables or longer keys reach, and sums made in Arrow batches against plain loops."""
 
 import math
+import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kmerlake.operators import counts as kc
+from kmerlake.operators import model as md
+from kmerlake.operators import motifs as mo
+from kmerlake.operators import pairs as pr
 from kmerlake.operators import sampling as sm
 from kmerlake.operators import statistics as ss
 
@@ -33,3 +40,47 @@ def test_weighted_counts_of_large_read_ids(spark):
     got = {x.kmer: x.w for x in kc.weighted_counts(rows, 3, sm.lcg_uniform("read_id"), pad=False).collect()}
     w = sum((i * 1103515245 + 12345) % 2**31 / 2**31 for i in ids)
     assert got.keys() == {"GAU", "AUU"} and all(math.isclose(x, w, rel_tol=1e-12) for x in got.values())
+
+
+def _pairs(rows, k1, k2, least=-99, most=99, core=None):
+    n = Counter()
+    for c, _, s in rows:
+        for p in range(len(s or "") - k1 + 1):
+            for q in range(len(s) - k2 + 1):
+                if least <= q - p <= most and core in (None, s[p : p + k1]):
+                    n[c, s[p : p + k1], s[q : q + k2], q - p] += 1
+    return n
+
+
+def _mixed_reads():
+    r = random.Random(3)
+    own = [(r.choice([0.0, 5.0, None]), i, "".join(r.choice("ACGU") for _ in range(r.choice([0, 1, 2, 5, 12, 12])))) for i in range(90)]
+    return [*own, (5.0, 90, None), (5.0, 91, "ACNUAUUNN"), (5.0, 92, "AUUAUé"), (0.0, None, "AUUAUU"), (0.0, 7, "AUUAUU")]
+
+
+@pytest.mark.parametrize(("dense", "held"), [(1 << 22, 1 << 23), (1 << 22, 1), (1, 1)])
+def test_pairs_against_plain_loops(spark, monkeypatch, dense, held):
+    monkeypatch.setattr(pr, "DENSE", dense)
+    monkeypatch.setattr(pr, "HELD", held)
+    rows = _mixed_reads()
+    df = spark.createDataFrame(rows, "conc double, read_id long, seq string").coalesce(2)
+    for a in ((2, 1), (3, 2, -1, 2), (2, 2, 2), (3, 2, None, None, "AUU"), (1, 3, -2, None, "N")):
+        k1, k2, least, most, core = [*a, None, None, None][:5]
+        got = {(x.conc, x.kmer_1, x.kmer_2, x.rel): x.n for x in pr.pair_counts(df, k1, k2, least, most, core=core).collect()}
+        assert got == _pairs(rows, k1, k2, -99 if least is None else least, 99 if most is None else most, core), a
+
+
+def test_numbers_of_long_kmers_stay_within_a_long():
+    r = random.Random(4)
+    codes, alphabet = pr.letters(["".join(r.choice("ACGU") for _ in range(60)) for _ in range(5)])
+    out, size = pr.numbered(codes, len(alphabet), 40)
+    assert alphabet == "ACGU" and out.shape == (21, 5) and len(set(out.ravel().tolist())) == 105 and out.max() < size < 1 << 31
+
+
+def test_core_flank_profile_makes_no_row_for_each_pair(spark):
+    rows = _mixed_reads()
+    df = spark.createDataFrame(rows, "conc double, read_id long, seq string")
+    made = kc.core_flank_profile(df, 2, 1)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    want = _pairs(rows, 2, 1)
+    assert {(x.conc, x.core, x.flank, x.rel): x.n for x in made.collect()} == {k: n + 1.0 for k, n in want.items()}
