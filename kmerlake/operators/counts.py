@@ -156,11 +156,7 @@ def flank_profile(reads: DataFrame, core: str, k_flank: int) -> DataFrame:
 
 def crosstalk(reads: DataFrame, k1: int, k2: int) -> DataFrame:
     """(conc, kmer_1, kmer_2, n): pairs of k-mers of two lengths that share a base of a read."""
-    one = F.transform(sq.kmers("seq", k1), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    two = F.transform(sq.kmers("seq", k2), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    rows = reads.select("conc", one.alias("a"), two.alias("b")).select("conc", "b", F.explode("a").alias("a"))
-    rows = rows.select("conc", "a", F.explode(F.filter("b", lambda b: (b["pos"] > F.col("a.pos") - k2) & (b["pos"] < F.col("a.pos") + k1))).alias("b"))
-    return rows.groupBy("conc", F.col("a.kmer").alias("kmer_1"), F.col("b.kmer").alias("kmer_2")).agg(F.count("*").alias("n"))
+    return pair_counts(reads, k1, k2, 1 - k2, k1 - 1).groupBy("conc", "kmer_1", "kmer_2").agg(F.sum("n").alias("n"))
 
 
 def energy_histogram(reads: DataFrame, k: int, energy: str = "e", bins: int = 256, low: float = 0.0, high: float = 8.0) -> DataFrame:

@@ -84,3 +84,13 @@ def test_core_flank_profile_makes_no_row_for_each_pair(spark):
     assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
     want = _pairs(rows, 2, 1)
     assert {(x.conc, x.core, x.flank, x.rel): x.n for x in made.collect()} == {k: n + 1.0 for k, n in want.items()}
+
+
+def test_crosstalk_makes_no_row_for_each_pair(spark):
+    rows = _mixed_reads()
+    made = kc.crosstalk(spark.createDataFrame(rows, "conc double, read_id long, seq string"), 3, 2)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for (c, a, b, _), n in _pairs(rows, 3, 2, -1, 2).items():
+        want[c, a, b] += n
+    assert {(x.conc, x.kmer_1, x.kmer_2): x.n for x in made.collect()} == want
