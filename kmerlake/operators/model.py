@@ -146,22 +146,46 @@ def ska_weights(reads: DataFrame, k: int, passes: int = 3, pseudo: float = 10.0)
     """(kmer, weight): streaming k-mer assignment by batch passes, for one sample's reads against the input's frequencies.
 
     Each pass shares a read among its k-mers by weight over background, then adds the shares up; weights of a pass are
-    fixed, so the order of reads does not matter (the sequential form lets each read see the ones before).
+    fixed, so the order of reads does not matter (the sequential form lets each read see the ones before). A task of a
+    pass holds the 4**k sums of its reads; windows with a letter other than ACGU have no share. Rows are reads of their
+    own, whatever their id.
     """
     spark = reads.sparkSession
-    background = frequencies(kmer_counts(reads.where("conc = 0"), k), k, pseudo).select("kmer", F.col("f").alias("b"))
-    pulled = reads.where("conc <> 0")
-    weights = background.select("kmer", F.lit(1.0).alias("weight"))
-    rows = pulled.select("conc", "read_id", F.explode(sq.kmers("seq", k)).alias("kmer"))
+    background = frequencies(kmer_counts(reads.where("conc = 0"), k), k, pseudo).orderBy("kmer").collect()  # 4**k rows
+    if not background:
+        return spark.createDataFrame([], "kmer string, weight double")
+    b = np.array([r["f"] for r in background])
+    weights = np.ones(4**k)
+    rows = reads.where("conc <> 0 and seq is not null").select(F.col("seq").cast("string").alias("seq"))
+
+    def shares(s: np.ndarray) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(s))
+            for batch in batches:
+                seqs = batch.column(0).to_pylist()
+                for at in by_length(seqs) if seqs else ():
+                    codes = encode([seqs[i] for i in at], 0).astype(np.int64)
+                    width = codes.shape[1] - k + 1
+                    if width < 1:
+                        continue
+                    index = sum(codes[:, d : d + width] * 4 ** (k - 1 - d) for d in range(k))
+                    strange = sum((codes[:, d : d + width] == 4) for d in range(k)) > 0 if (codes == 4).any() else np.zeros(index.shape, bool)
+                    own = np.where(strange, 0.0, s[np.where(strange, 0, index)])
+                    whole = own.sum(axis=1, keepdims=True)
+                    own = np.divide(own, whole, out=np.zeros_like(own), where=whole > 0)
+                    sums += np.bincount(index[~strange], weights=own[~strange], minlength=len(s))
+            seen = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen], pa.float64())], names=["kidx", "g"])
+
+        out = np.zeros(len(s))
+        for r in rows.mapInArrow(work, "kidx long, g double").groupBy("kidx").agg(F.sum("g").alias("g")).collect():  # 4**k rows
+            out[r["kidx"]] = r["g"]
+        return out
+
     for _ in range(passes):
-        share = weights.join(background, "kmer").select("kmer", (F.col("weight") / F.col("b")).alias("s"))
-        per = rows.join(F.broadcast(share), "kmer")
-        whole = per.groupBy("conc", "read_id").agg(F.sum("s").alias("t"))
-        got = per.join(whole, ["conc", "read_id"]).groupBy("kmer").agg(F.sum(F.col("s") / F.col("t")).alias("g"))
-        summed = weights.join(got, "kmer", "left").select("kmer", (F.col("weight") + F.coalesce("g", F.lit(0.0))).alias("weight"))
-        total = summed.agg(F.sum("weight")).first()[0]
-        weights = spark.createDataFrame(summed.select("kmer", F.col("weight") / total * 4**k).collect(), "kmer string, weight double")  # 4**k rows
-    return weights
+        weights = weights + shares(weights / b)
+        weights = weights / weights.sum() * 4**k
+    return spark.createDataFrame([(r["kmer"], float(w)) for r, w in zip(background, weights)], "kmer string, weight double")
 
 
 def concentrations(q_total: float, w_total: float, reads: int, length: int, k: int, rna_conc: float = 1000.0) -> tuple[float, float]:

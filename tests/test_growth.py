@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerlake.operators import counts as kc
+from kmerlake.operators import metrics as mt
 from kmerlake.operators import model as md
 from kmerlake.operators import motifs as mo
 from kmerlake.operators import pairs as pr
@@ -86,6 +87,17 @@ def test_core_flank_profile_makes_no_row_for_each_pair(spark):
     assert {(x.conc, x.core, x.flank, x.rel): x.n for x in made.collect()} == {k: n + 1.0 for k, n in want.items()}
 
 
+def test_ska_weights_take_rows_as_reads(spark):
+    r = random.Random(8)
+    rows = [(c, i, "".join(r.choice("AACGU") for _ in range(9))) for c in (0.0, 5.0) for i in range(30)]
+    rows += [(5.0, 31, "ACNGUU"), (5.0, 32, "A"), (5.0, 33, None)]
+    own = lambda ids: {x.kmer: x.weight for x in md.ska_weights(spark.createDataFrame([(c, ids(i), s) for c, i, s in rows], "conc double, read_id long, seq string"), 2).collect()}
+    want, without, shared = own(lambda i: i), own(lambda i: None), own(lambda i: i // 2)
+    assert len(want) == 16 and math.isclose(sum(want.values()), 16)
+    for got in (without, shared):
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+
+
 def test_crosstalk_makes_no_row_for_each_pair(spark):
     rows = _mixed_reads()
     made = kc.crosstalk(spark.createDataFrame(rows, "conc double, read_id long, seq string"), 3, 2)
