@@ -206,7 +206,7 @@ def site_weights(seq: Column, motif: Motif, acc: Column | None = None, offset: i
     windows = sq.kmers(seq, motif.width)
     if acc is None:
         return F.transform(windows, product)
-    return F.transform(windows, lambda x, i: product(x) * F.coalesce(F.get(acc, i + offset), F.lit(0.0)))
+    return sq.bound(acc, lambda own: F.transform(windows, lambda x, i: product(x) * F.coalesce(F.get(own, i + offset), F.lit(0.0))))
 
 
 def kmer_affinities(spark: SparkSession, motif: Motif, floor: float = 0.0) -> DataFrame:

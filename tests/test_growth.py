@@ -106,3 +106,17 @@ def test_crosstalk_makes_no_row_for_each_pair(spark):
     for (c, a, b, _), n in _pairs(rows, 3, 2, -1, 2).items():
         want[c, a, b] += n
     assert {(x.conc, x.kmer_1, x.kmer_2): x.n for x in made.collect()} == want
+
+
+def test_accessibilities_are_made_once_a_read(spark):
+    m = mo.Motif(np.array([[0.1, 0.2, 0.05, 1.0], [0.3, 1.0, 0.02, 0.3]]))
+    rows = spark.createDataFrame([(1, "ACGUU"), (2, "A")], "read_id long, seq string")
+    acc = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.exp(-(F.col("read_id") + i) / 7.0))
+    z = rows.select("read_id", acc.alias("acc"), "seq").select("read_id", mo.site_weights(F.col("seq"), m, F.col("acc"), 1).alias("z"))
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.index("transform(") :].splitlines()[0]
+    assert inner.startswith("transform(array(transform("), inner  # bound outside the lambda of the windows
+    got = {x.read_id: x.z for x in z.collect()}
+    cell = lambda s: math.prod(m.matrix[d]["ACGU".index(x)] for d, x in enumerate(s))
+    want = [cell("ACGUU"[p : p + 2]) * (math.exp(-(2 + p) / 7) if p < 3 else 0.0) for p in range(4)]
+    assert got[2] == [] and np.allclose(got[1], want, rtol=1e-12)
