@@ -122,9 +122,7 @@ def cooccurrence(reads: DataFrame, wanted: list[str]) -> DataFrame:
 
 def joint_frequencies(reads: DataFrame, k: int, pseudo: float = 1.0) -> DataFrame:
     """(conc, dist, kmer_a, kmer_b, f): share of each pair of k-mers that do not overlap among those at its distance, adapters included; seen pairs only, the pseudo-count spread over all 16**k."""
-    rows = reads.select("conc", sq.kmers(sq.padded("seq", k), k).alias("own")).select("conc", "own", F.posexplode("own").alias("i", "kmer_a"))
-    rows = rows.select("conc", "kmer_a", F.posexplode(F.slice("own", F.col("i") + k + 1, F.greatest(F.size("own") - F.col("i") - k, F.lit(0)))).alias("j", "kmer_b"))
-    n = rows.groupBy("conc", (F.col("j") + k).alias("dist"), "kmer_a", "kmer_b").agg(F.count("*").alias("n"))
+    n = pair_counts(reads, k, k, least=k, seq=sq.padded("seq", k)).withColumnsRenamed({"kmer_1": "kmer_a", "kmer_2": "kmer_b", "rel": "dist"})
     whole = F.sum("n").over(Window.partitionBy("conc", "dist")) + pseudo * 16**k
     return n.select("conc", "dist", "kmer_a", "kmer_b", ((F.col("n") + pseudo) / whole).alias("f"))
 

@@ -13,6 +13,7 @@ from kmerlake.operators.model import ska_weights
 from kmerlake.operators.overlap import o_values
 from kmerlake.operators.resampling import r_values_with_error
 from kmerlake.operators.tokens import dense, kmer_domain
+from kmerlake.sources.shared import cut
 
 
 def against_input(values: DataFrame, value: str, *keys: str, input_conc: float = 0.0) -> DataFrame:
@@ -79,9 +80,8 @@ def explained_fraction(reads: DataFrame, ranking: list[str]) -> DataFrame:
 def mutual_information(reads: DataFrame, k: int, pseudo: float = 0.0) -> DataFrame:
     """(conc, dist, mi): bits that a k-mer tells of the one at a distance, over the seen pairs."""
     joint = kc.joint_frequencies(reads, k, pseudo)
-    a = joint.groupBy("conc", "dist", "kmer_a").agg(F.sum("f").alias("fa"))
-    b = joint.groupBy("conc", "dist", "kmer_b").agg(F.sum("f").alias("fb"))
-    rows = joint.join(a, ["conc", "dist", "kmer_a"]).join(b, ["conc", "dist", "kmer_b"])
+    fa, fb = (F.sum("f").over(Window.partitionBy("conc", "dist", c)) for c in ("kmer_a", "kmer_b"))  # 4**k rows at most
+    rows = joint.withColumn("fa", fa).withColumn("fb", fb)
     return rows.groupBy("conc", "dist").agg(F.sum(F.col("f") * F.log2(F.col("f") / (F.col("fa") * F.col("fb")))).alias("mi"))
 
 

@@ -108,6 +108,23 @@ def test_crosstalk_makes_no_row_for_each_pair(spark):
     assert {(x.conc, x.kmer_1, x.kmer_2): x.n for x in made.collect()} == want
 
 
+def test_mutual_information_makes_no_row_for_each_pair(spark):
+    rows = [(c, i, s) for c, i, s in _mixed_reads() if c is not None and s and "é" not in s]
+    made = mt.mutual_information(spark.createDataFrame(rows, "conc double, read_id long, seq string"), 1)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    n = _pairs(rows, 1, 1, 1)
+    whole, fa, fb, want = Counter(), Counter(), Counter(), Counter()
+    for (c, a, b, d), x in n.items():
+        whole[c, d] += x
+        fa[c, d, a] += x
+        fb[c, d, b] += x
+    for (c, a, b, d), x in n.items():
+        w = whole[c, d]
+        want[c, d] += x / w * math.log2(x * w / (fa[c, d, a] * fb[c, d, b]))
+    got = {(x.conc, x.dist): x.mi for x in made.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
+
+
 def test_accessibilities_are_made_once_a_read(spark):
     m = mo.Motif(np.array([[0.1, 0.2, 0.05, 1.0], [0.3, 1.0, 0.02, 0.3]]))
     rows = spark.createDataFrame([(1, "ACGUU"), (2, "A")], "read_id long, seq string")
