@@ -67,11 +67,24 @@ def single_protein(reads: DataFrame, k: int, affinity: DataFrame, acc: str | Non
 
 
 def site_correlation(reads: DataFrame, a: Motif, b: Motif) -> DataFrame:
-    """(dist, s): sum over reads of the product of two motifs' site weights at each separation, made within each row."""
-    za = F.transform(site_weights(F.col("seq"), a), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    zb = F.transform(site_weights(F.col("seq"), b), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    rows = reads.select(za.alias("a"), zb.alias("b")).select("b", F.explode("a").alias("a")).select("a", F.explode("b").alias("b"))
-    return rows.groupBy((F.col("b.i") - F.col("a.i")).alias("dist")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("s"))
+    """(dist, s): sum over reads of the product of two motifs' site weights at each separation. A task adds up its reads and returns a row for each separation."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, float] = {}
+        for batch in batches:
+            seqs = batch.column(0).to_pylist()
+            for at in by_length(seqs) if seqs else ():
+                codes = encode([seqs[i] for i in at], 0)
+                za, zb = products(codes, a), products(codes, b)
+                na, nb = za.shape[1], zb.shape[1]
+                for dist in range(1 - na, nb) if na and nb else ():
+                    i, j = max(0, -dist), min(na, nb - dist)
+                    if i < j:
+                        sums[dist] = sums.get(dist, 0.0) + float(np.einsum("ij,ij->", za[:, i:j], zb[:, i + dist : j + dist]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["dist", "s"])
+
+    rows = reads.select(F.col("seq").cast("string").alias("seq")).where("seq is not null")
+    return rows.mapInArrow(work, "dist int, s double").groupBy("dist").agg(F.sum("s").alias("s"))
 
 
 @dataclass

@@ -98,6 +98,22 @@ def test_ska_weights_take_rows_as_reads(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
 
 
+def test_site_correlation_makes_no_row_for_each_pair(spark):
+    r = random.Random(9)
+    a, b = (mo.Motif(np.array([[r.random() for _ in range(4)] for _ in range(w)])) for w in (3, 2))
+    rows = ["".join(r.choice("ACGU") for _ in range(r.choice([1, 2, 3, 9, 9]))) for _ in range(50)] + ["ACNUGGA", "ACéUGGA", "", None]
+    z = lambda m, s, p: math.prod(m.matrix[d]["ACGU".index(x)] if x in "ACGU" else 0.0 for d, x in enumerate(s[p : p + m.width]))
+    want = Counter()
+    for s in rows:
+        for p in range(len(s or "") - 2):
+            for q in range(len(s) - 1):
+                want[q - p] += z(a, s, p) * z(b, s, q)
+    made = md.site_correlation(spark.createDataFrame([(s,) for s in rows], "seq string"), a, b)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {x.dist: x.s for x in made.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9, abs_tol=1e-12) for d in want)
+
+
 def test_crosstalk_makes_no_row_for_each_pair(spark):
     rows = _mixed_reads()
     made = kc.crosstalk(spark.createDataFrame(rows, "conc double, read_id long, seq string"), 3, 2)
