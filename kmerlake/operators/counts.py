@@ -146,10 +146,7 @@ def core_flank_profile(reads: DataFrame, k_core: int, k_flank: int, pseudo: floa
 
 def flank_profile(reads: DataFrame, core: str, k_flank: int) -> DataFrame:
     """(conc, flank, rel, n): k-mers around every occurrence of the core, by relative position."""
-    own = F.transform(sq.kmers("seq", len(core)), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer")))
-    rows = reads.select("conc", F.filter(own, lambda h: h["kmer"] == core).alias("h"), F.transform(sq.kmers("seq", k_flank), lambda x, i: F.struct(i.alias("pos"), x.alias("kmer"))).alias("f"))
-    rows = rows.where(F.size("h") > 0).select("conc", "f", F.explode("h").alias("h")).select("conc", "h", F.explode("f").alias("f"))
-    return rows.groupBy("conc", F.col("f.kmer").alias("flank"), (F.col("f.pos") - F.col("h.pos")).alias("rel")).agg(F.count("*").alias("n"))
+    return pair_counts(reads, len(core), k_flank, core=core).select("conc", F.col("kmer_2").alias("flank"), "rel", "n")
 
 
 def crosstalk(reads: DataFrame, k1: int, k2: int) -> DataFrame:

@@ -88,8 +88,7 @@ def mutual_information(reads: DataFrame, k: int, pseudo: float = 0.0) -> DataFra
 def flank_divergence(reads: DataFrame, core: str, k_flank: int, pseudo: float = 10.0) -> DataFrame:
     """(conc, rel, flank, log_ratio, kl_term) of flanking k-mers against the input; 0 where the flank overlaps the core."""
     spark = reads.sparkSession
-    n = kc.flank_profile(reads, core, k_flank)
-
+    n = cut(kc.flank_profile(reads, core, k_flank))  # a row for each sample, place and flank; the reads are gone through once
     every = n.select("rel").distinct().crossJoin(F.broadcast(n.select("conc").distinct())).crossJoin(F.broadcast(kmer_domain(spark, k_flank).select(F.col("kmer").alias("flank"))))
     full = every.join(n, ["conc", "rel", "flank"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + pseudo)
     f = full.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("conc", "rel")))

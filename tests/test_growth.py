@@ -141,6 +141,19 @@ def test_mutual_information_makes_no_row_for_each_pair(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
 
 
+def test_flank_divergence_goes_through_the_reads_once(spark):
+    rows = [(c, i, s) for c, i, s in _mixed_reads() if c is not None]
+    made = mt.flank_divergence(spark.createDataFrame(rows, "conc double, read_id long, seq string"), "AU", 1)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" not in plan
+    f = Counter({(c, q, b): n for (c, _, b, q), n in _pairs(rows, 2, 1, core="AU").items()})
+    rels = {q for _, q, _ in f}
+    share = lambda c, q, b: (f[c, q, b] + 10) / sum(f[c, q, x] + 10 for x in "ACGU")
+    for x in made.collect():
+        want = 0.0 if -1 < x.rel < 2 else math.log2(share(x.conc, x.rel, x.flank) / share(0.0, x.rel, x.flank))
+        assert x.rel in rels and math.isclose(x.log_ratio, want, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_accessibilities_are_made_once_a_read(spark):
     m = mo.Motif(np.array([[0.1, 0.2, 0.05, 1.0], [0.3, 1.0, 0.02, 0.3]]))
     rows = spark.createDataFrame([(1, "ACGUU"), (2, "A")], "read_id long, seq string")
