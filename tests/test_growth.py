@@ -154,6 +154,17 @@ def test_flank_divergence_goes_through_the_reads_once(spark):
         assert x.rel in rels and math.isclose(x.log_ratio, want, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_top_interactors_from_one_pass(spark):
+    rows = [(c, i, s) for c, i, s in _mixed_reads() if c is not None]
+    divergence = mt.flank_divergence(spark.createDataFrame(rows, "conc double, read_id long, seq string"), "AU", 1)
+    made = mt.top_interactors(divergence, 2)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    best = {}
+    for x in divergence.collect():
+        best[x.flank] = max(best.get(x.flank, -math.inf), x.kl_term)
+    assert [x.flank for x in made.collect()] == sorted(best, key=lambda k: (-best[k], k))[:2]
+
+
 def test_accessibilities_are_made_once_a_read(spark):
     m = mo.Motif(np.array([[0.1, 0.2, 0.05, 1.0], [0.3, 1.0, 0.02, 0.3]]))
     rows = spark.createDataFrame([(1, "ACGUU"), (2, "A")], "read_id long, seq string")
