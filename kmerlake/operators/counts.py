@@ -178,7 +178,8 @@ def aligned_profile(reads: DataFrame, kmer: str, energy: str = "e", up: int = 5,
 
 def energies_of(reads: DataFrame, kmer: str, energy: str = "e") -> DataFrame:
     """(conc, read_id, pos, e) for every occurrence of a k-mer."""
-    own = F.filter(F.transform(sq.kmers("seq", len(kmer)), lambda x, i: F.struct(i.alias("pos"), F.get(F.col(energy), i).alias("e"), (x == kmer).alias("hit"))), lambda h: h["hit"] & h["e"].isNotNull())
+    found = sq.bound(F.col(energy), lambda e: F.transform(sq.kmers("seq", len(kmer)), lambda x, i: F.struct(i.alias("pos"), F.get(e, i).alias("e"), (x == kmer).alias("hit"))))
+    own = F.filter(found, lambda h: h["hit"] & h["e"].isNotNull())
     return reads.select("conc", "read_id", F.explode(own).alias("h")).select("conc", "read_id", "h.pos", "h.e")
 
 
@@ -186,7 +187,7 @@ def energies_of_best(reads: DataFrame, ranking: list[str], energy: str = "e") ->
     """(kmer, rank, conc, read_id, pos, e) for every occurrence of each of the k-mers, all of one length; rank from 1."""
     k = len(ranking[0])
     order = F.array(*map(F.lit, ranking))
-    own = F.transform(sq.kmers("seq", k), lambda x, i: F.struct(x.alias("kmer"), F.array_position(order, x).alias("rank"), i.alias("pos"), F.get(F.col(energy), i).alias("e")))
+    own = sq.bound(F.col(energy), lambda e: F.transform(sq.kmers("seq", k), lambda x, i: F.struct(x.alias("kmer"), F.array_position(order, x).alias("rank"), i.alias("pos"), F.get(e, i).alias("e"))))
     rows = reads.select("conc", "read_id", F.explode(F.filter(own, lambda h: (h["rank"] > 0) & h["e"].isNotNull())).alias("h"))
     return rows.select("h.kmer", F.col("h.rank").cast("int").alias("rank"), "conc", "read_id", "h.pos", "h.e")
 

@@ -61,7 +61,7 @@ def best_site(sequences: DataFrame, motif: Motif) -> DataFrame:
 
 def single_protein(reads: DataFrame, k: int, affinity: DataFrame, acc: str | None = None) -> DataFrame:
     """(conc, read_id, z): sum of a k-mer affinity table over a read's k-mers, times the accessibility where given. The table of at most 4**k rows is joined by k-mer."""
-    x = F.transform(sq.kmers("seq", k), lambda m, i: F.struct(m.alias("kmer"), (F.get(F.col(acc), i) if acc else F.lit(1.0)).alias("a")))
+    x = sq.bound(F.col(acc) if acc else F.lit(None), lambda own: F.transform(sq.kmers("seq", k), lambda m, i: F.struct(m.alias("kmer"), (F.get(own, i) if acc else F.lit(1.0)).alias("a"))))
     rows = reads.select("conc", "read_id", F.explode(x).alias("x")).select("conc", "read_id", F.col("x.kmer").alias("kmer"), "x.a")
     return rows.join(affinity, "kmer").groupBy("conc", "read_id").agg(F.sum(F.col("affinity") * F.col("a")).alias("z"))
 
