@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kmerlake.functions import sequence as sq
 from kmerlake.operators import counts as kc
 from kmerlake.operators import metrics as mt
 from kmerlake.operators import model as md
@@ -15,6 +16,7 @@ from kmerlake.operators import motifs as mo
 from kmerlake.operators import pairs as pr
 from kmerlake.operators import sampling as sm
 from kmerlake.operators import statistics as ss
+from kmerlake.plans import base, counting  # noqa: F401  registers the queries
 
 
 def test_mann_whitney_of_millions_of_rows(spark):
@@ -154,6 +156,19 @@ def test_flank_divergence_goes_through_the_reads_once(spark):
         assert x.rel in rels and math.isclose(x.log_ratio, want, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_weighted_kmer_count_of_large_doc_ids(spark, tmp_path):
+    text = "ACGUUAGCAU" * 9
+    ids = [0, 83_588, 1_024_617, 80_000_000_000]
+    spark.createDataFrame([(i, text, "src5") for i in ids], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want: dict = {}
+    for read_id, seq in [(i * 100_000 + j, s) for i in ids for j, s in enumerate((text[:40], text[40:80], text[-40:]))]:
+        padded = sq.ADAPTER_5[-4:] + seq + sq.ADAPTER_3[:4]
+        for p in range(len(padded) - 4):
+            want[padded[p : p + 5]] = want.get(padded[p : p + 5], 0.0) + (read_id * 1103515245 + 12345) % 2**31 / 2**31
+    got = {x.kmer: x.w for x in base.QUERIES["weighted_kmer_count"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
 def test_top_interactors_from_one_pass(spark):
     rows = [(c, i, s) for c, i, s in _mixed_reads() if c is not None]
     divergence = mt.flank_divergence(spark.createDataFrame(rows, "conc double, read_id long, seq string"), "AU", 1)
