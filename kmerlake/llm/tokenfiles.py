@@ -12,9 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,21 +30,28 @@ END_ID = 2
 #: Rows of a shard, about.
 SHARD_ROWS = 50_000
 #: Distinct words whose ids a Python worker remembers; beyond it the later half goes, as common words come early.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 _SPACE = re.compile(r"[ \t-\r]+")
 #: str.split() splits here, the tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
-_PART = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
+#: Signs that end a word in a piece of their own: all of ASCII but the apostrophe.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words encoded as one text.
+_ASKED = 2000
 _GOLD = 0x9E3779B97F4A7C15
 
 
-#: Steps that leave a word of small ASCII letters as it is and in one piece; fixed values of the format.
+#: Steps that leave a word of small letters of ASCII and Latin-1 as it is and in one piece, but for the mapping of bytes; fixed values of the format.
 _HARMLESS = {"Sequence", "NFC", "NFKC", "Lowercase", "Replace", "Split", "ByteLevel"}
 _LETTER_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _bare(config: dict):
-    """The file's model without the steps before it, for words of small ASCII letters; None unless these steps leave such words alone."""
+    """(tokenizer, last, mapped): the file's model on words between blanks without the steps before it; None unless these steps leave words of _SMALL alone.
+
+    last: which ids end a word, by the model's suffix; None without one. mapped: the steps write bytes as letters.
+    """
 
     def steps(part: dict | None) -> list[dict]:
         own = (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or []
@@ -64,7 +69,12 @@ def _bare(config: dict):
         return None
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(json.dumps({**config, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    tokenizer = Tokenizer.from_str(json.dumps({**config, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+    suffix, last = config["model"].get("end_of_word_suffix"), None
+    if suffix:
+        last = np.zeros(max(config["model"]["vocab"].values()) + 1, bool)
+        last[[i for t, i in config["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    return tokenizer, last, any(x["type"] == "ByteLevel" for x in found)
 
 
 class WordEncoder:
@@ -82,7 +92,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         kinds = json.dumps(config.get("normalizer") or {})
-        self.bare = _bare(config)
+        self.bare, self.last, mapped = _bare(config) or (None, None, False)
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        odd = [b for b in range(256) if b not in shown]
+        self.letters = [(chr(b), chr(256 + i)) for i, b in enumerate(odd) if b >= 0x80] if mapped else []
         self.lower = '"Lowercase"' in kinds
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -93,39 +106,62 @@ class WordEncoder:
             text = text.lower()
         return _SPACE.split(text) if _ODD.search(text) else text.split()
 
-    def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if not new:
-            return
+    def _one_by_one(self, tokenizer, words: list[str]) -> Iterator[bytes]:
+        for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(e.ids, self.kind).tobytes()
+
+    def _small(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of _SMALL: many go as one text, and the suffix tells where each ends; one by one if it does not."""
+        text = " ".join(words)
+        if self.letters and not text.isascii():
+            text = text.encode().decode("latin-1")
+            for b, letter in self.letters:
+                text = text.replace(b, letter)
+        if self.last is not None:
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                raw, w = ids.tobytes(), ids.itemsize
+                return (raw[a * w : b * w] for a, b in zip([0, *ends], ends))
+        return self._one_by_one(self.bare, text.split(" "))
+
+    def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
-            new = words.difference(self.known)
-        split: dict[str, tuple[str, str]] = {}
+        known = self.known
+        split: list[tuple[str, str, str]] = []
         ask: set[str] = set()
         for w in new:
-            m = _PART.fullmatch(w)
-            if m and m[1].isalpha() and "<" not in w:
-                split[w] = (m[1], m[2])
-                ask.update(p for p in m.groups() if p not in self.known)
+            stem = w.rstrip(_SIGNS)
+            if len(stem) < len(w) and stem.isalpha() and "<" not in w:
+                signs = w[len(stem) :]
+                split.append((w, stem, signs))
+                if stem not in known:
+                    ask.add(stem)
+                if signs not in known:
+                    ask.add(signs)
             else:
                 ask.add(w)
-        plain = [w for w in ask if w.isascii() and w.isalpha() and w.islower()] if self.bare else []
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for tokenizer, asked in ((self.bare, plain), (self.tokenizer, list(ask.difference(plain)))):
-            for at in range(0, len(asked), 20_000):
-                part = asked[at : at + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    ids = array(code, e.ids)
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    self.known[w] = ids.tobytes()
-        for w, (a, b) in split.items():
-            self.known[w] = self.known[a] + self.known[b]
+        small = [w for w in ask if _SMALL.fullmatch(w)] if self.bare else []
+        for at in range(0, len(small), _ASKED):
+            part = small[at : at + _ASKED]
+            known.update(zip(part, self._small(part)))
+        asked = list(ask.difference(small))
+        for at in range(0, len(asked), 20_000):
+            part = asked[at : at + 20_000]
+            known.update(zip(part, self._one_by_one(self.tokenizer, part)))
+        for w, stem, signs in split:
+            known[w] = known[stem] + known[signs]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists = [self._words(t or "") for t in texts]
-        self._learn({w for words in lists for w in words})
-        get = self.known.__getitem__
+        words = set().union(*lists)
+        ids = dict(zip(words, map(self.known.get, words)))  # small beside all that is known, so quick to look up in
+        new = [w for w, b in ids.items() if b is None]
+        if new:
+            self._learn(new)
+            ids.update(zip(new, map(self.known.__getitem__, new)))
+        get = ids.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
 
@@ -256,6 +292,13 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a file, kept for its later tasks. A task's function carries copies of the globals it names, so it must not name the table itself."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write every row's ids, end_id appended, as shards under path, in ascending order of the id (null first; rows of one id by their text's hash).
 
@@ -274,8 +317,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard = task.partitionId()
-        encoder = _ENCODERS.setdefault(tokenizer_file, None) or WordEncoder(tokenizer_file)
-        _ENCODERS[tokenizer_file] = encoder
+        encoder = _encoder(tokenizer_file)
         fs, root = _open(path)
         fs.create_dir(root, recursive=True)
         name = f"shard-{shard:07d}.ids"
