@@ -348,7 +348,7 @@ def _removed(rows: DataFrame, text: "F.Column", least: float) -> DataFrame:
     gone = classes.select(*KIND, "doc", "no", "lines").join(lost, ["doc", "no"], "left").where("lines > 1 or lost")
     firsts = gone.select(*KIND, F.struct("doc", "no").alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
     every = lines.select(*KIND, "doc", "no").join(firsts, list(KIND))
-    every = every.where(F.col("lost") | (F.struct("doc", "no") != F.col("first"))).distinct()
+    every = every.where(F.col("lost") | (F.struct("doc", "no") != F.col("first")))  # a line, a class and a lost class have one row each
     return every.select(F.col("doc").alias("_d"), F.shiftright("no", LINE_BITS).alias("_r"), F.col("no").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("no"))
 
 
@@ -368,9 +368,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _removed(rows, F.col("t"), least).select(F.col("_d").alias("doc_id"), F.col("_r").alias("row"), "no")
 
 
-def _with_removed(rows: DataFrame, text: "F.Column", least: float) -> DataFrame:
-    """numbered() rows with _gone, the numbers of their lines that go, null if none does."""
-    gone = _removed(rows, text, least).groupBy("_d", "_r").agg(F.array_sort(F.collect_list("no")).alias("_gone"))
+def _with_removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Columns of numbered() rows with _gone, the numbers of their lines that go, null if none does."""
+    gone = gone.groupBy("_d", "_r").agg(F.array_sort(F.collect_list("no")).alias("_gone"))
     return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
 
 
@@ -380,17 +380,19 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has 0 lines; a very long one is cut as a whole. Rows that share an id, null or not, have a report each.
     """
     rows = numbered(docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")), F.col("i"), F.col("t"))
-    joined = _with_removed(rows, F.col("t"), least)
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
     n_lines = F.greatest(F.coalesce(F.size(F.split("t", "\n")), F.lit(0)), F.lit(0))
-    return joined.select(F.col("i").alias("doc_id"), n_lines.alias("n_lines"), F.size(removed).alias("n_removed"), F.array_join(removed, ",").alias("removed"))
+    counted = rows.select("i", "_doc", "_row", n_lines.alias("n_lines"))  # before the join, which then shuffles no text
+    joined = _with_removed(counted, _removed(rows, F.col("t"), least))
+    removed = F.coalesce("_gone", F.array().cast("array<int>"))
+    return joined.select(F.col("i").alias("doc_id"), "n_lines", F.size(removed).alias("n_removed"), F.array_join(removed, ",").alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs, all columns, with the later matches taken out of its texts. Other columns may have any names; rows that share an id, null or not, are documents of their own."""
     inner, name = plain_names(docs)
     text = F.col(name[text_col])
-    joined = _with_removed(numbered(inner, F.col(name[id_col]), text), text, least)
+    rows = numbered(inner, F.col(name[id_col]), text)
+    joined = _with_removed(rows, _removed(rows, text, least))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
     return joined.withColumn(name[text_col], F.when(F.col("_gone").isNull(), text).otherwise(kept)).select(*inner.columns).toDF(*docs.columns)
 

@@ -519,6 +519,15 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert len(report) == len(docs) and sum(r["n_removed"] for r in report) == linededup.removed_lines(df).count()
 
 
+def test_line_report_shuffles_no_text(spark):
+    df = spark.createDataFrame(rows((1, "q w e r t\nq w e r t", "a"), (2, "q w e r t y\nx", "a"), (3, None, "a")), SCHEMA)
+    made = linededup.line_report(df)
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+    exchanged = [part for part in plan.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", part)]
+    assert exchanged and not any(re.search(r"\bt#\d+", part) for part in exchanged)
+    assert {r["doc_id"]: (r["n_lines"], r["removed"]) for r in made.collect()} == {1: (2, "1"), 2: (2, "0"), 3: (0, "")}
+
+
 def test_lines_awkward(spark):
     got = linededup.line_report(awkward(spark)).collect()
     assert len(got) == 8 and {r["n_lines"] for r in got if r["doc_id"] == 5} == {0}
